@@ -1,8 +1,8 @@
 """All queries of this subpackage, and their SQL where it can express them."""
 
-from motifstream.llm import licenses, packing, quality, sharding, urls, warc
+from motifstream.llm import contamination, licenses, packing, quality, sharding, toxicity, urls, warc
 
 QUERIES, SQL = {}, {}
-for _module in (quality, sharding, licenses, packing, warc, urls):
+for _module in (quality, sharding, toxicity, contamination, licenses, packing, warc, urls):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
