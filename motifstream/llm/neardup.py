@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from motifstream.llm.common import documents, materialize
 from motifstream.llm.components import components
 
-WORDS = 4  # of a shingle
+WORDS = 5  # of a shingle
 BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8
 BITS = 1024
 PERCENT = 80
+QUERY_WORDS = 4  # what the query op4 asks for
 MARGIN = 0.25  # of the sketch's estimate below the threshold: seven deviations of 128 samples
 CACHE = 500_000
 _RNG = np.random.default_rng(4)
@@ -218,13 +219,13 @@ def drop_near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int
 
 
 def op4_odd_sketch(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), words=QUERY_WORDS)
 
 
 def _sql() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {WORDS - 2}))) AS i FROM d WHERE len(w) > 0)),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {QUERY_WORDS - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {QUERY_WORDS - 2}))) AS i FROM d WHERE len(w) > 0)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         inter AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
         links AS (SELECT a, b FROM inter JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= {PERCENT} * (p.n + q.n - k)),

@@ -100,34 +100,50 @@ def not_first(group: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> n
     return out
 
 
-def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(tag, ids, sizes, texts, n_bytes): rows of ``docs`` gathered to blocks, texts as compressed UTF-8; in the shared folder."""
+def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_rows: bool = False) -> DataFrame:
+    """(tag, ids, sizes, texts, n_bytes, rest): rows of ``docs`` gathered to blocks, texts as compressed UTF-8; in the shared folder.
+
+    With ``keep_rows``, ``rest`` holds the rows' other columns as an Arrow stream.
+    """
+    names = [c for c in docs.columns if c != "text"] if keep_rows else []
 
     def run(batches):
         import zstandard
         from pyspark import TaskContext
 
         zip_, tag = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
+        ids, texts, parts, size = [], [], [], 0
 
         def block():
+            rest = None
+            if names:
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, parts[0].schema) as w:
+                    for x in parts:
+                        w.write_batch(x)
+                rest = zip_.compress(out.getvalue().to_pybytes())
             return pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([zip_.compress(b"".join(texts))], pa.binary()), pa.array([size], pa.int64())], ["tag", "ids", "sizes", "texts", "n_bytes"])
+                pa.array([zip_.compress(b"".join(texts))], pa.binary()), pa.array([size], pa.int64()), pa.array([rest], pa.binary())], ["tag", "ids", "sizes", "texts", "n_bytes", "rest"])
 
         for b in batches:
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"]):
+            row, done = b.select(names) if names else None, 0
+            for i, (doc, text) in enumerate(zip(b["_id"].to_pylist(), b["_text"]), 1):
                 t = (text.as_py() or "").encode()
                 ids.append(doc)
                 texts.append(t)
                 size += len(t)
                 if size >= block_bytes or len(ids) >= 1 << 16:
+                    if names:
+                        parts.append(row.slice(done, i - done))
                     yield block()
-                    tag, ids, texts, size = tag + 1, [], [], 0
+                    tag, ids, texts, parts, size, done = tag + 1, [], [], [], 0, i
+            if names and done < b.num_rows:
+                parts.append(row.slice(done))
         if ids:
             yield block()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    return materialize(rows.mapInArrow(run, "tag long, ids array<long>, sizes array<long>, texts binary, n_bytes long"), "text-blocks")
+    rows = docs.select(*(docs[c] for c in names), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    return materialize(rows.mapInArrow(run, "tag long, ids array<long>, sizes array<long>, texts binary, n_bytes long, rest binary"), "text-blocks")
 
 
 def _texts(sizes, packed: bytes) -> list[bytes]:
@@ -363,40 +379,69 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
     return sent.repartition(n_bins, "bin").mapInArrow(meet, "tag long, spans binary")
 
 
-def removals(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bin_bytes: int = BIN_BYTES, hot: int = HOT, outputs: str = "digest") -> DataFrame:
+def _remove(docs: DataFrame, cut, schema, columns: list[str], *, length: int, block_bytes: int, bin_bytes: int, hot: int, keep_rows: bool) -> DataFrame:
+    blocks = make_blocks(docs, block_bytes, keep_rows)
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    n_bins = max(8, math.ceil(total / bin_bytes))
+    buckets = materialize(count_buckets(blocks.drop("rest"), n_bins, length, hot), "buckets")
+    spans = late_spans(blocks.drop("rest"), buckets, n_bins, length).groupBy("tag").agg(F.collect_list("spans").alias("spans"))
+    return blocks.join(spans, "tag", "left").select(*columns).mapInArrow(cut, schema)
+
+
+def _left(texts: list[bytes], found: list[bytes] | None):
+    """Each text less its spans, and the number of these."""
+    gone = merge(np.frombuffer(b"".join(found or ()), SPAN))
+    edges = np.searchsorted(gone["idx"], np.arange(len(texts) + 1))
+    for text, lo, hi in zip(texts, edges, edges[1:]):
+        own, left, at = gone[lo:hi], [], 0
+        for a, z in zip(own["start"].tolist(), own["end"].tolist()):
+            left.append(text[at:a])
+            at = z
+        yield b"".join([*left, text[at:]]), len(own)
+
+
+def removals(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bin_bytes: int = BIN_BYTES, hot: int = HOT) -> DataFrame:
     """What earlier copies take from each document: (doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row.
 
-    ``outputs="text"`` adds ``kept_text``, the remaining text (bytes of characters cut in two are left out). Null texts are empty; texts under ``length`` bytes lose nothing; rows without an
-    id come after all others; of rows that share an id each is a document of its own, in the order of the scan; an
-    empty table gives no rows; other columns are ignored. A block is at most ``block_bytes`` or one text.
+    Null texts are empty; texts under ``length`` bytes lose nothing; rows without an id come after all others; of rows
+    that share an id each is a document of its own, in the order of the scan; an empty table gives no rows; other
+    columns are ignored. A block is at most ``block_bytes`` and one text.
     """
-    blocks = make_blocks(docs, block_bytes)
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    n_bins = max(8, math.ceil(total / bin_bytes))
-    buckets = materialize(count_buckets(blocks, n_bins, length, hot), "buckets")
-    spans = late_spans(blocks, buckets, n_bins, length).groupBy("tag").agg(F.collect_list("spans").alias("spans"))
 
     def cut(batches):
         for b in batches:
             for ids, sizes, packed, found in zip(*(b[c].to_pylist() for c in ("ids", "sizes", "texts", "spans"))):
-                texts = _texts(sizes, packed)
-                gone = merge(np.frombuffer(b"".join(found or ()), SPAN))
-                edges = np.searchsorted(gone["idx"], np.arange(len(texts) + 1))
-                out = []
-                for i, text in enumerate(texts):
-                    own = gone[edges[i] : edges[i + 1]]
-                    left, at = [], 0
-                    for a, z in zip(own["start"].tolist(), own["end"].tolist()):
-                        left.append(text[at:a])
-                        at = z
-                    left = b"".join([*left, text[at:]])
-                    out.append((ids[i], len(text), len(text) - len(left), len(own), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if outputs == "text" else None))
-                cols = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-    out = blocks.join(spans, "tag", "left").select("ids", "sizes", "texts", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return out if outputs == "text" else out.drop("kept_text")
+                out = [(doc, n, n - len(left), spans, hashlib.sha256(left).hexdigest()) for doc, n, (left, spans) in zip(ids, sizes, _left(_texts(sizes, packed), found))]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _remove(docs, cut, schema, ["ids", "sizes", "texts", "spans"], length=length, block_bytes=block_bytes, bin_bytes=bin_bytes, hot=hot, keep_rows=False)
+
+
+def cut_repeats(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bin_bytes: int = BIN_BYTES, hot: int = HOT) -> DataFrame:
+    """``docs`` with ``text`` less what occurred earlier and ``n_chars``, if there, as its new length; other columns as they were.
+
+    Bytes of a character that was cut in two are left out. Null texts stay null.
+    """
+    names = docs.columns
+
+    def cut(batches):
+        import zstandard
+
+        for b in batches:
+            for sizes, packed, rest, found in zip(*(b[c].to_pylist() for c in ("sizes", "texts", "rest", "spans"))):
+                rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(rest)).read_all().combine_chunks()
+                texts = [x.decode("utf-8", "ignore") for x, _ in _left(_texts(sizes, packed), found)]
+                new = {"text": pa.array([None if z else x for x, z in zip(texts, rows["_null"].to_pylist())], pa.string())}
+                if "n_chars" in names:
+                    new["n_chars"] = pa.array([len(x) for x in texts]).cast(rows["n_chars"].type)
+                cols = [new[c] if c in new else rows[c].combine_chunks() for c in names]
+                cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in cols]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    flagged = docs.withColumn("_null", F.col("text").isNull())
+    return _remove(flagged, cut, docs.schema, ["sizes", "texts", "rest", "spans"], length=length, block_bytes=block_bytes, bin_bytes=bin_bytes, hot=hot, keep_rows=True)
 
 
 def op10_bucket_pointers(spark, sf_dir):
