@@ -52,7 +52,7 @@ class ChunkEncoder:
         except KeyError:
             if len(known) > CACHE:
                 known.clear()
-            for x in set(rest) - known.keys():
+            for x in {x for x in rest if x not in known}:
                 known[x] = np.array(self.encode(" " + x), "<u4").tobytes()
             tail = b"".join(map(known.__getitem__, rest))
         return np.array(self.encode(head), "<u4").tobytes() + tail
