@@ -58,7 +58,7 @@ class Shingler:
             return np.array([self.hash(b" ".join(words), len(words))], np.uint64)
         if len(self.known) > CACHE:
             self.known.clear()
-        for x in set(words) - self.known.keys():
+        for x in {x for x in words if x not in self.known}:
             self.known[x] = self.hash(x)
         h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = len(words) - self.words + 1
