@@ -41,7 +41,9 @@ def count_with_shell(q: QueryGraph, adj: DataFrame, shell: list[int], homo: bool
         pick = adj if q.label_set(core[0]) is None else adj.filter(F.col("src_label").isin(sorted(q.label_set(core[0]))))
         out = pick.select(F.col("src").alias(f"u{core[0]}")).distinct()
     while rest:
-        w = next(x for x in rest if any(y in done for y in q.neighbours(x)))
+        w = next((x for x in rest if any(y in done for y in q.neighbours(x))), None)
+        if w is None:
+            raise ValueError("the vertices outside the shell must be connected")
         rest.remove(w)
         for i, b in enumerate(x for x in q.neighbours(w) if x in done):
             e = edge_side(edges, q, b, w, q.neighbours(w)[b], "new").drop("s_new", "e_new")

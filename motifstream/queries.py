@@ -23,6 +23,7 @@ CYCLE = QueryGraph.of((C, 10, 20, 30), [(0, 1, 0), (1, 2, 1), (0, 3, 2), (2, 3,
 TREE = QueryGraph.of((C, 10, 20), [(0, 1, 0), (1, 2, 1)])
 EQUAL = QueryGraph.of((C, 10, C, 30), [(0, 1, 0), (2, 1, 0), (0, 3, 2), (2, 3, 2)])
 TWO = QueryGraph.of((C, 10, 20, 20, 30), [(0, 1, 0), (1, 2, 1), (1, 3, 1), (2, 4, 3), (3, 4, 3), (0, 4, 2)])
+PAIR = QueryGraph.of((C, 10, 10), [(0, 1, 0), (0, 2, 0)])
 STAR = QueryGraph.of((0, 10, 10, 10), [(0, 1, 0), (0, 2, 0), (0, 3, 0)])
 SELECTIVE = QueryGraph.of((0, 10, 20, 30), [(0, 1, 0), (1, 2, 1), (0, 3, 2), (2, 3, 3)])
 MANY = {"cycle": CYCLE, "tree": TREE, "selective": SELECTIVE}
@@ -305,7 +306,8 @@ _add("sj_tree_delta", lambda s, d: m.deltas(CsmSession(s).plan(SELECTIVE, adj(s,
 _now = lambda s, d: lifetimes.snapshot(adj(s, d))
 _N = "SELECT count(*) AS n FROM found WHERE st = 0"
 _add("shell_count_1", lambda s, d: counting.count_with_shell(CYCLE, _now(s, d), [2]), _with(_N, CYCLE))
-_add("shell_count_2", lambda s, d: counting.count_with_shell(EQUAL, _now(s, d), [0, 2]), _with(_N, EQUAL))
+_add("shell_count_2", lambda s, d: counting.count_with_shell(PAIR, _now(s, d), [1, 2]), _with(_N, PAIR))
+_add("shell_of_two_cores", lambda s, d: counting.count_with_shell(EQUAL, _now(s, d), [2]), _with(_N, EQUAL))
 _add("shell_count_3", lambda s, d: counting.count_with_shell(STAR, _now(s, d), [1, 2, 3]), _with(_N, STAR))
 _add("isolated_vertex_count", lambda s, d: counting.count_with_shell(TWO, _now(s, d), [2, 3]), _with(_N, TWO))
 
