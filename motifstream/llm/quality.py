@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import ascii_lower, documents
+from motifstream.llm.common import ascii_lower, documents, free_name
 
 MAX_DOCS, MAX_PERCENT = 20, 2  # a line goes if more documents than both hold it, of its host
 MIN_WORDS, LEFT_PERCENT = 20, 50  # a document needs so many words after that, and so much of what it had
@@ -108,10 +108,11 @@ def remove_frequent_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def clean_texts(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its frequent lines: the operator's real output."""
-    per_host = frequent.groupBy("host").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("host", "_host")  # bounded, see frequent_lines
-    both = docs.join(per_host, docs["source"].eqNullSafe(per_host["_host"]), "left")
-    keep = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<bigint>")), F.xxhash64(F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09-\x0D]+", " ")))))
-    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))).drop("_host", "_gone")
+    gone, host = free_name("_gone", docs.columns), free_name("_host", docs.columns)
+    per_host = frequent.groupBy("host").agg(F.collect_set("line").alias(gone)).withColumnRenamed("host", host)  # bounded, see frequent_lines
+    both = docs.join(per_host, docs["source"].eqNullSafe(per_host[host]), "left")
+    keep = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.coalesce(gone, F.array().cast("array<bigint>")), F.xxhash64(F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09-\x0D]+", " ")))))
+    return both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))).drop(host, gone)
 
 
 def judge_quality(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_percent: int = MAX_PERCENT, min_words: int = MIN_WORDS, left_percent: int = LEFT_PERCENT) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifstream.llm.anchors import GRAM, _mix, anchors, grams
-from motifstream.llm.common import documents, materialize
+from motifstream.llm.common import documents, free_name, materialize
 
 LENGTH = 100
 BLOCK_BYTES, CHUNK_BYTES, BIN_BYTES = 4 << 20, 1 << 19, 16 << 20
@@ -106,6 +106,7 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_rows: bool
     With ``keep_rows``, ``rest`` holds the rows' other columns as an Arrow stream.
     """
     names = [c for c in docs.columns if c != "text"] if keep_rows else []
+    id_name, text_name = free_name("_id", docs.columns), free_name("_text", docs.columns)
 
     def run(batches):
         import zstandard
@@ -127,7 +128,7 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_rows: bool
 
         for b in batches:
             row, done = b.select(names) if names else None, 0
-            for i, (doc, text) in enumerate(zip(b["_id"].to_pylist(), b["_text"]), 1):
+            for i, (doc, text) in enumerate(zip(b[id_name].to_pylist(), b[text_name]), 1):
                 t = (text.as_py() or "").encode()
                 ids.append(doc)
                 texts.append(t)
@@ -142,7 +143,7 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_rows: bool
         if ids:
             yield block()
 
-    rows = docs.select(*(docs[c] for c in names), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*(docs[c] for c in names), F.col("doc_id").cast("long").alias(id_name), F.col("text").cast("string").alias(text_name))
     return materialize(rows.mapInArrow(run, "tag long, ids array<long>, sizes array<long>, texts binary, n_bytes long, rest binary"), "text-blocks")
 
 
@@ -424,7 +425,7 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLO
 
     Bytes of a character that was cut in two are left out. Null texts stay null.
     """
-    names = docs.columns
+    names, null_name = docs.columns, free_name("_null", docs.columns)
 
     def cut(batches):
         import zstandard
@@ -433,14 +434,14 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLO
             for sizes, packed, rest, found in zip(*(b[c].to_pylist() for c in ("sizes", "texts", "rest", "spans"))):
                 rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(rest)).read_all().combine_chunks()
                 texts = [x.decode("utf-8", "ignore") for x, _ in _left(_texts(sizes, packed), found)]
-                new = {"text": pa.array([None if z else x for x, z in zip(texts, rows["_null"].to_pylist())], pa.string())}
+                new = {"text": pa.array([None if z else x for x, z in zip(texts, rows[null_name].to_pylist())], pa.string())}
                 if "n_chars" in names:
                     new["n_chars"] = pa.array([len(x) for x in texts]).cast(rows["n_chars"].type)
                 cols = [new[c] if c in new else rows[c].combine_chunks() for c in names]
                 cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in cols]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    flagged = docs.withColumn("_null", F.col("text").isNull())
+    flagged = docs.withColumn(null_name, F.col("text").isNull())
     return _remove(flagged, cut, docs.schema, ["sizes", "texts", "rest", "spans"], length=length, block_bytes=block_bytes, bin_bytes=bin_bytes, hot=hot, keep_rows=True)
 
 
