@@ -263,7 +263,19 @@ _add("nlf_safe_detect", _nlf_unsafe, f"WITH {_TRADE}, {_EVENTS}, cover AS ({_cov
 _add("nlf_change", lambda s, d: stats.nlf_change(adj(s, d).filter("src < dst and start_seq > 0").select("src", "dst", "src_label", "dst_label", F.lit(True).alias("is_add"))), _with("SELECT id, label, count(*)::BIGINT AS n FROM (SELECT src AS id, dst_label AS label FROM adj WHERE start_seq > 0) GROUP BY 1, 2"))
 _SPREAD = match_cte(TREE, True).split(" AND greatest")[0]
 _add("lighting_index", lambda s, d: index.lighting(TREE, adj(s, d), tables.trade_vertices(s, d)), _with(" UNION ALL ".join(f"SELECT {u} AS u, u{u} AS v FROM (SELECT DISTINCT u{u} FROM spread)" for u in range(TREE.size)), more=f"spread AS ({_SPREAD})"))
-_add("lighting_cycle", lambda s, d: index.lighting(SELECTIVE, adj(s, d), tables.trade_vertices(s, d)))
+
+
+def _lit_sql(q: QueryGraph, rounds: int = 6) -> str:
+    """The fixpoint by as many rounds as the queries here can need."""
+    col = "label"
+    out = [f"lit0 AS ({' UNION ALL '.join(f'SELECT {u} AS u, id AS v FROM vertices WHERE {_labels(q, u, col)}' for u in range(q.size))})"]
+    for i in range(rounds):
+        near = lambda w, c, i=i: f"v IN (SELECT a.src FROM adj a JOIN lit{i} o ON o.v = a.dst AND o.u = {w} WHERE a.elabel = {c})"
+        out.append(f"lit{i + 1} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT u, v FROM lit{i} WHERE u = {u}' + ''.join(' AND ' + near(w, c) for w, c in q.neighbours(u).items()) for u in range(q.size))})")
+    return ", ".join([*out, f"lit AS (SELECT * FROM lit{rounds})"])
+
+
+_add("lighting_cycle", lambda s, d: index.lighting(SELECTIVE, adj(s, d), tables.trade_vertices(s, d)), f"WITH {_TRADE}, {_lit_sql(SELECTIVE)} SELECT u, v FROM lit")
 
 
 def _sdr(spark, sf):
@@ -271,7 +283,8 @@ def _sdr(spark, sf):
     return index.representatives(EQUAL, a, index.lighting(EQUAL, a, tables.trade_vertices(spark, sf))).groupBy("u").agg(F.count("*").alias("n"))
 
 
-_add("lighting_sdr", _sdr)
+_add("lighting_sdr", _sdr, f"""WITH {_TRADE}, {_lit_sql(EQUAL)}, ends AS (SELECT DISTINCT a.src, a.dst, a.elabel FROM adj a JOIN lit o ON o.v = a.dst AND o.u IN (0, 2))
+    SELECT u, count(*) AS n FROM lit WHERE u IN (0, 2) OR v IN (SELECT src FROM ends WHERE elabel = CASE u WHEN 1 THEN 0 ELSE 2 END GROUP BY src HAVING count(DISTINCT dst) > 1) GROUP BY u""")
 _add("explicit_path_counts", lambda s, d: index.explicit_paths(TREE, adj(s, d), index.label_candidates(TREE, tables.trade_vertices(s, d)), [(0, 1, 0), (1, 2, 1)], 0),
      _with("SELECT 0 AS u, count(*)::BIGINT AS paths FROM vertices WHERE label < 5 UNION ALL SELECT 1, count(*)::BIGINT FROM adj WHERE elabel = 0 AND src_label < 5 UNION ALL SELECT 2, count(*)::BIGINT FROM adj a JOIN adj b ON b.src = a.dst WHERE a.elabel = 0 AND a.src_label < 5 AND b.elabel = 1 AND b.src_label = 10"))
 
