@@ -187,5 +187,13 @@ def op8_seekable(spark, sf_dir):
     return read_bundles(write_bundles(pages, folder), folder)
 
 
+def _sql() -> str:
+    digits = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n[{g}] >> {b}) % 32 + 1, 1)" for g in range(1, 9) for b in (15, 10, 5, 0))
+    groups = ", ".join(f"('0x' || substr(h, {5 * g + 1}, 5))::INT" for g in range(8))
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+        g AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, first, [{groups}] AS n FROM p)
+        SELECT page_id, payload_bytes, {digits} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM g"""
+
+
 QUERIES = {"op8_seekable": op8_seekable}
-SQL = {}
+SQL = {"op8_seekable": _sql()}
