@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from motifstream.llm.common import documents
 
@@ -108,20 +109,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, piece: int = PIECE, block_c
     """(doc_id, item_id, edits, ends_at): every item that a document holds within the item's budget.
 
     Every text is read whole, once a block of items. Null and empty texts hold nothing; rows that repeat give
-    repeated pairs; null ids are kept; an empty table on either side gives no rows; other columns are ignored.
+    repeated pairs; items that share an id (or have none) are one item with several texts; null ids are kept; an empty table on either side gives no rows; other columns are ignored.
     """
     spark, kind, item_kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    out = None
+    out, item_type = None, to_arrow_type(items.schema["item_id"].dataType)
     for block in item_blocks(items, block_chars=block_chars):
         held = spark.sparkContext.broadcast(block)  # of at most block_chars letters
 
         def run(batches, held=held):
             matcher = Matcher(held.value, piece)
             for b in batches:
-                got = [(doc, key, *x) for doc, text in zip(b["doc_id"].to_pylist(), b["text"]) for key, x in sorted(matcher.find(text.as_py()).items())]
+                got = [(doc, key, *x) for doc, text in zip(b["doc_id"].to_pylist(), b["text"]) for key, x in sorted(matcher.find(text.as_py()).items(), key=lambda y: (y[0] is None, y[0] if y[0] is not None else 0))]
                 if got:
                     cols = list(zip(*got))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], b["doc_id"].type), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "edits", "ends_at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], b["doc_id"].type), pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "edits", "ends_at"])
 
         part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, edits int, ends_at long")
         out = part if out is None else out.unionByName(part)

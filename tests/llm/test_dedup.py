@@ -169,6 +169,8 @@ def test_leaks(frame, spark):
         assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["item_id"], x["edits"]) for x in got) == sorted(want)
         left = contamination.drop_leaks(frame(rows), bench, block_chars=block).collect()
         assert sorted(x["doc_id"] for x in left) == sorted({i for i, _ in rows if i is not None} - {i for i, _, _ in want})
+    nameless = bench.unionByName(bench.filter("item_id = 0").selectExpr("cast(null as long) as item_id", "text"))
+    assert {x["item_id"] for x in contamination.find_leaks(frame(rows), nameless).collect() if x["doc_id"] is None} == {0, None}
     assert contamination.find_leaks(frame(rows), bench.filter("false")).collect() == [] and contamination.find_leaks(frame([]), bench).collect() == []
 
 
