@@ -1,9 +1,9 @@
 """Near-duplicates by MinHash bands, odd sketches and exact confirmation.
 
 Texts of equal words are one class. MinHash bands of the classes make buckets; in each bucket all members are
-compared with its smallest one, then those that still are in other components with each other. A pair's odd
-sketches (parity bitmaps of the MinHash samples) drop it if its similarity is far too low, and the full shingle
-sets decide.
+compared with its smallest one, then those that still are in other components with each other. A pair is dropped
+if parity bitmaps of its full sets prove it to be no link, or if its odd sketches (parity bitmaps of the MinHash
+samples) put its similarity far too low; the full shingle sets decide on the rest.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifstream.llm.common import documents, materialize
@@ -90,6 +90,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of all shingles. The XOR of two has at most as many bits as there are shingles in one set only."""
+    bit = shingles % np.uint64(BITS)
+    return np.packbits((np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def estimate(flipped: int) -> float:
     """Similarity from the population count of the XOR of two sketches."""
     return 1 + BITS / (4 * BANDS * ROWS) * math.log(max(1e-9, 1 - 2 * flipped / BITS))
@@ -101,7 +107,7 @@ def most_flipped(similarity: float) -> int:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, class, n_shingles, bands, sketch) for every row; ``class`` is a digest of all its words."""
+    """(doc_id, class, n_shingles, bands, sketch, parity) for every row; ``class`` is a digest of all its words."""
 
     def run(batches):
         own = Shingler(words)
@@ -113,24 +119,38 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     sh = own.shingles(ws)
                     if len(sh):
                         m = minhash(sh)
-                        out.append((own.digest(b" ".join(ws)), len(sh), band_keys(m), odd_sketch(m)))
+                        out.append((own.digest(b" ".join(ws)), len(sh), band_keys(m), odd_sketch(m), parity(sh)))
                     else:
-                        out.append((None, 0, None, None))
+                        out.append((None, 0, None, None, None))
                 cols = list(zip(*out))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], longs), pa.array(cols[3], longs)], ["doc_id", "class", "n_shingles", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), *(pa.array(c, longs) for c in cols[2:])], ["doc_id", "class", "n_shingles", "bands", "sketch", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, class binary, n_shingles long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, class binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>")
+
+
+def _flipped(x: str, y: str) -> Column:
+    """Population count of the XOR of two bitmaps."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)])
+
+
+def _sides(classes: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a pair: a, na, b, nb and the named columns with the side's letter."""
+    return tuple(classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
+
+
+def _possible(percent: int) -> Column:
+    """False only for pairs that cannot reach the threshold: sizes too different, or too many shingles in one set only."""
+    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return sized & (_flipped("parity_a", "parity_b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches do not rule out the threshold."""
-    a = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    b = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    flipped = reduce(lambda x, y: x + y, [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(BITS // 64)])
-    sized = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (flipped <= most_flipped(percent / 100 - MARGIN))
-    return pairs.join(a, "a").join(b, "b").filter(sized).select("a", "b")
+    """Pairs whose bitmaps do not rule out the threshold."""
+    a, b = _sides(classes, "sketch", "parity")
+    likely = _flipped("sketch_a", "sketch_b") <= most_flipped(percent / 100 - MARGIN)
+    return pairs.join(a, "a").join(b, "b").filter(_possible(percent) & likely).select("a", "b")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -186,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
     own = signed.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     reps = own.groupBy("class").agg(F.min("doc_id").alias("rep"))
     first = own.join(reps.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")))
-    classes = materialize(first.select("rep", "class", "n_shingles", "bands", "sketch").dropDuplicates(["rep", "class"]), "classes")
+    classes = materialize(first.select("rep", "class", "n_shingles", "bands", "sketch", "parity").dropDuplicates(["rep", "class"]), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(banded.join(leaders.drop("n"), "key"), "buckets")
@@ -198,9 +218,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
     placed = shared.join(at, "rep", "left").withColumn("own", F.coalesce("own", "rep"))
     of_leader = found.withColumnsRenamed({"node": "leader", "component": "main"})
     placed = materialize(placed.join(of_leader, "leader", "left").withColumn("main", F.coalesce("main", "leader")), "placed")
-    apart = placed.filter("own <> main").select("key", F.col("rep").alias("b"), F.col("own").alias("own_b"))
-    mixed = placed.filter("rep <> leader").join(apart.groupBy("key").agg(F.count("*").alias("n")), "key")
-    rest = mixed.select("key", F.col("rep").alias("a"), F.col("own").alias("own_a")).join(apart, "key").filter("a <> b and own_a <> own_b")
+    apart = placed.filter("own <> main")
+    keys = apart.select("key").distinct()
+    a, b = _sides(classes, "parity")
+    mixed = placed.filter("rep <> leader").join(keys, "key").select("key", F.col("rep").alias("a"), F.col("own").alias("own_a")).join(a, "a")
+    apart = apart.select("key", F.col("rep").alias("b"), F.col("own").alias("own_b")).join(b, "b")
+    # the bitmaps are part of the join's condition: pairs that cannot be links are never rows
+    rest = mixed.join(apart, "key").filter((F.col("a") != F.col("b")) & (F.col("own_a") != F.col("own_b")) & _possible(percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialize(_near(rest, classes, percent), "rest-pairs")
     if not rest.isEmpty():
