@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from motifstream.llm.common import documents
 
-MAX_TRAIN = 12_000  # labelled rows that the model is fitted on, those with the smallest hashes
+MAX_TRAIN = 5_000  # labelled rows that the model is fitted on, those with the smallest hashes
 PRECISION, CHANCE, LEAST = 0.95, 0.01, 4
 PREFIXES = range(4, 9)
 FUZZY_FROM = 5  # letters that a term needs before one edit is allowed
@@ -144,7 +144,8 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
 
 def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
     """Words and word beginnings that mark toxic texts too well for chance, with an edit each where that stays precise."""
-    bags = [frozenset(x for x in tokens(t) if len(x) >= PREFIXES[0]) for t in texts]
+    same: dict[str, str] = {}  # one string for each word: the driver's memory is small
+    bags = [frozenset(same.setdefault(x, x) for x in tokens(t) if len(x) >= PREFIXES[0]) for t in texts]
     rate = max(1e-6, sum(toxic) / max(1, len(toxic)))
     parts = lambda bag: bag | {f"{x[:n]}*" for x in bag for n in PREFIXES if len(x) >= n}
     bad = Counter(x for bag, y in zip(bags, toxic) if y for x in parts(bag))
@@ -168,11 +169,8 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
     for word, prefix in dict.fromkeys(terms):
         edits = 0
         if len(word) >= FUZZY_FROM:
-            near = Lexicon([(word, prefix, 1)])
-            exact, fuzzy = Lexicon([(word, prefix, 0)]), [0, 0]
-            del exact
-            vocabulary = _vocabulary(bags)
-            close = frozenset(x for x in vocabulary if near._walk(x) == 1)
+            near, fuzzy = Lexicon([(word, prefix, 1)]), [0, 0]
+            close = frozenset(x for x in same if near._walk(x) == 1)
             for bag, y in zip(bags, toxic) if close else ():
                 if not close.isdisjoint(bag):
                     fuzzy[bool(y)] += 1
@@ -181,15 +179,6 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
     return Lexicon(out)
 
 
-_LAST: list = [None, None]
-
-
-def _vocabulary(bags: list[frozenset]) -> frozenset:
-    if _LAST[0] is not bags:
-        _LAST[:] = [bags, frozenset().union(*bags)]
-    return _LAST[1]
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
