@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run, rows: int = 10_000):
+    """``run``, a function for ``mapInArrow``, on at most ``rows`` rows at a time.
+
+    At the end its worker gives free memory back, as Spark keeps it for other tasks.
+    """
+
+    def task(batches):
+        try:
+            yield from run(b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows))
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def free_name(name: str, taken) -> str:
     """``name``, longer if a column has it already; Spark's names ignore case."""
     low = {c.lower() for c in taken}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from motifstream.llm.common import documents
+from motifstream.llm.common import documents, lean
 
 PIECE = 22  # letters a piece has at least; an item's budget is what that leaves
 BLOCK_CHARS = 4_000_000  # of item text in a block: what a worker holds at a time
@@ -124,7 +124,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, piece: int = PIECE, block_c
                     cols = list(zip(*got))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], b["doc_id"].type), pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "edits", "ends_at"])
 
-        part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, edits int, ends_at long")
+        part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, item_id {item_kind}, edits int, ends_at long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -139,7 +139,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, *, piece: int = PIECE, block_c
             for b in batches:
                 yield b.filter(pa.array(np.array([not matcher.find(x.as_py()) for x in b["text"]], bool)))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run, 512), docs.schema)
     return docs
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import documents, materialize
+from motifstream.llm.common import documents, lean, materialize
 from motifstream.llm.components import components
 
 WORDS = 5  # of a shingle
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), *(pa.array(c, longs) for c in cols[2:])], ["doc_id", "class", "n_shingles", "bands", "sketch", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, class binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, class binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def _flipped(x: str, y: str) -> Column:
@@ -188,10 +188,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, *, percent: int = PERCENT, words:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(squeeze, f"doc_id {kind}, z binary")
+    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(squeeze, 512), f"doc_id {kind}, z binary")
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
     met = asked.join(texts, "doc_id").groupBy("a", "b").agg(F.min(F.when(F.col("doc_id") == F.col("a"), F.col("z"))).alias("za"), F.min(F.when(F.col("doc_id") == F.col("b"), F.col("z"))).alias("zb"))
-    return met.mapInArrow(run, f"a {kind}, b {kind}")
+    return met.mapInArrow(lean(run, 512), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import documents, materialize
+from motifstream.llm.common import documents, lean, materialize
 
 CAPACITY, END_ID = 2048, 0
 CACHE = 300_000  # word encodings that a worker keeps
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, *, capacity: int = CAPACITY, ranks_path: str |
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b["doc_id"].type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run, 512), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tuple[int, int, int, int]]]:

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifstream.llm.anchors import GRAM, _mix, anchors, grams
-from motifstream.llm.common import documents, free_name, materialize
+from motifstream.llm.common import documents, free_name, lean, materialize
 
 LENGTH = 100
 BLOCK_BYTES, CHUNK_BYTES, BIN_BYTES = 4 << 20, 1 << 19, 16 << 20
 HOT = 2000  # places of different surroundings from which a bucket is dealt out
+AT_ONCE = 1 << 19  # strings that are refined at a time; a bucket that is not dealt out may be more
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 ENTRY = np.dtype([("name", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("idx", "<u4"), ("start", "<u4"), ("n", "<u4"), ("at", "<i8")])
@@ -52,6 +53,18 @@ class Pointers:
         self.depth = to
 
 
+def _slices(n: np.ndarray, whole: np.ndarray | None = None, most: int | None = None):
+    """(first, end) of stretches of about ``most`` strings, ``n`` an entry; entries that are equal in the sorted ``whole`` stay together."""
+    total, cuts = np.cumsum(n.astype(np.int64)), [0]
+    may = np.arange(1, len(n) + 1) if whole is None else np.r_[np.flatnonzero(whole[1:] != whole[:-1]) + 1, len(whole)]
+    while len(n) and cuts[-1] < len(n):
+        done = total[cuts[-1] - 1] if cuts[-1] else 0
+        to = np.searchsorted(total, done + (most or AT_ONCE), "right")
+        i = np.searchsorted(may, max(to, cuts[-1] + 1), "right") - 1
+        cuts.append(int(may[i] if i >= 0 and may[i] > cuts[-1] else may[i + 1]))
+    return zip(cuts, cuts[1:])
+
+
 def depths(length: int = LENGTH) -> list[int]:
     out, d = [], GRAM
     while d * 2 < length:
@@ -144,7 +157,14 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_rows: bool
             yield block()
 
     rows = docs.select(*(docs[c] for c in names), F.col("doc_id").cast("long").alias(id_name), F.col("text").cast("string").alias(text_name))
-    return materialize(rows.mapInArrow(run, "tag long, ids array<long>, sizes array<long>, texts binary, n_bytes long, rest binary"), "text-blocks")
+    return materialize(rows.mapInArrow(lean(run), "tag long, ids array<long>, sizes array<long>, texts binary, n_bytes long, rest binary"), "text-blocks")
+
+
+def _rows(batches, *names: str):
+    """The named values of each row, one row at a time: blocks are large."""
+    for b in batches:
+        for row in zip(*(b[c] for c in names)):
+            yield tuple(x.as_py() for x in row)
 
 
 def _texts(sizes, packed: bytes) -> list[bytes]:
@@ -244,29 +264,27 @@ def count_buckets(blocks: DataFrame, n_bins: int, length: int, hot: int) -> Data
     """
 
     def names(batches):
-        for b in batches:
-            for tag, ids, sizes, packed in zip(b["tag"].to_pylist(), b["ids"], b["sizes"].to_pylist(), b["texts"].to_pylist()):
-                texts = _texts(sizes, packed)
-                pairs = [(name, content) for _, name, content, _, _ in _places(texts, length)]
-                if not pairs:
-                    continue
-                name, content = (np.concatenate(x) for x in zip(*pairs))
-                order = np.lexsort((content, name))
-                name, content = name[order], content[order]
-                fresh = np.r_[True, (name[1:] != name[:-1]) | (content[1:] != content[:-1])]
-                found, n = np.unique(name[fresh], return_counts=True)
-                bins = (_mix(found) % np.uint64(n_bins)).astype(np.int64)
-                order = np.argsort(bins, kind="stable")
-                found, n = found[order], np.minimum(n[order], 255).astype(np.uint8)
-                rows = [(x, found[a:z].tobytes(), n[a:z].tobytes()) for x, a, z in _runs(bins[order])]
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0])), pa.array([tag] * len(rows), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bin", "tag", "names", "n"])
+        for tag, sizes, packed in _rows(batches, "tag", "sizes", "texts"):
+            texts = _texts(sizes, packed)
+            pairs = [(name, content) for _, name, content, _, _ in _places(texts, length)]
+            if not pairs:
+                continue
+            name, content = (np.concatenate(x) for x in zip(*pairs))
+            order = np.lexsort((content, name))
+            name, content = name[order], content[order]
+            fresh = np.r_[True, (name[1:] != name[:-1]) | (content[1:] != content[:-1])]
+            found, n = np.unique(name[fresh], return_counts=True)
+            bins = (_mix(found) % np.uint64(n_bins)).astype(np.int64)
+            order = np.argsort(bins, kind="stable")
+            found, n = found[order], np.minimum(n[order], 255).astype(np.uint8)
+            rows = [(x, found[a:z].tobytes(), n[a:z].tobytes()) for x, a, z in _runs(bins[order])]
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0])), pa.array([tag] * len(rows), pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["bin", "tag", "names", "n"])
 
     def count(batches):
         by: dict[int, list] = {}
-        for b in batches:
-            for x, *row in zip(*(c.to_pylist() for c in b.columns)):
-                by.setdefault(x, []).append(row)
+        for x, *row in _rows(batches, "bin", "tag", "names", "n"):
+            by.setdefault(x, []).append(row)
         while by:
             _, rows = by.popitem()
             found = [np.frombuffer(r[1], np.uint64) for r in rows]
@@ -278,8 +296,8 @@ def count_buckets(blocks: DataFrame, n_bins: int, length: int, hot: int) -> Data
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["tag", "warm", "hots"])
 
-    sent = blocks.mapInArrow(names, "bin long, tag long, names binary, n binary").repartition(n_bins, "bin")
-    return sent.mapInArrow(count, "tag long, warm binary, hots binary")
+    sent = blocks.mapInArrow(lean(names), "bin long, tag long, names binary, n binary").repartition(n_bins, "bin")
+    return sent.mapInArrow(lean(count), "tag long, warm binary, hots binary")
 
 
 def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int) -> DataFrame:
@@ -289,55 +307,52 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
         import zstandard
 
         zip_ = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            for tag, ids, sizes, packed, warm, hots in zip(*(b[c].to_pylist() for c in ("tag", "ids", "sizes", "texts", "warm", "hots"))):
-                e, data = _block_entries(ids, tag, _texts(sizes, packed), length)
-                e, spans = _split_late(e, length)
-                rows = []
-                warm, hots = (np.frombuffer(b"".join(x or ()), np.uint64) for x in (warm, hots))
-                own = e[np.isin(e["name"], warm)]
-                bins = (_mix(own["name"]) % np.uint64(n_bins)).astype(np.int64)
+        for tag, ids, sizes, packed, warm, hots in _rows(batches, "tag", "ids", "sizes", "texts", "warm", "hots"):
+            e, data = _block_entries(ids, tag, _texts(sizes, packed), length)
+            e, spans = _split_late(e, length)
+            rows = []
+            warm, hots = (np.frombuffer(b"".join(x or ()), np.uint64) for x in (warm, hots))
+            own = e[np.isin(e["name"], warm)]
+            bins = (_mix(own["name"]) % np.uint64(n_bins)).astype(np.int64)
+            order = np.argsort(bins, kind="stable")
+            own = own[order]
+            for x, a, z in _runs(bins[order]):
+                rows.append((x, 1, zip_.compress(own[a:z].tobytes() + _snippets(own[a:z], data, length)), int(z - a)))
+            hots = e[np.isin(e["name"], hots)]
+            for lo, hi in _slices(hots["n"]):
+                hot = hots[lo:hi]
+                of, at = _windows(hot)
+                size = hot["n"].astype(np.int64) + (length - 1)
+                pointers = Pointers(_snippets(hot, data, length))
+                for d in depths(length):
+                    pointers.grow(d)
+                w = np.empty(len(of), WINDOW)
+                w["name"] = join_names(hot["name"][of], pointers.names[(np.cumsum(size) - size)[of] + at])
+                w["doc"], w["tag"], w["idx"], w["start"] = hot["doc"][of], tag, hot["idx"][of], hot["start"][of] + at
+                late = not_first((w["name"],), (w["doc"], w["tag"], w["idx"], w["start"]))
+                more = np.empty(int(late.sum()), SPAN)
+                more["idx"], more["start"], more["end"] = w["idx"][late], w["start"][late], w["start"][late] + length
+                spans, w = np.concatenate([spans, merge(more)]), w[~late]
+                bins = (_mix(w["name"]) % np.uint64(n_bins)).astype(np.int64)
                 order = np.argsort(bins, kind="stable")
-                own = own[order]
-                for x, a, z in _runs(bins[order]):
-                    rows.append((x, 1, zip_.compress(own[a:z].tobytes() + _snippets(own[a:z], data, length)), int(z - a)))
-                hot = e[np.isin(e["name"], hots)]
-                if len(hot):
-                    of, at = _windows(hot)
-                    text = _snippets(hot, data, length)
-                    size = hot["n"].astype(np.int64) + (length - 1)
-                    pointers = Pointers(text)
-                    for d in depths(length):
-                        pointers.grow(d)
-                    w = np.empty(len(of), WINDOW)
-                    w["name"] = join_names(hot["name"][of], pointers.names[(np.cumsum(size) - size)[of] + at])
-                    w["doc"], w["tag"], w["idx"], w["start"] = hot["doc"][of], tag, hot["idx"][of], hot["start"][of] + at
-                    late = not_first((w["name"],), (w["doc"], w["tag"], w["idx"], w["start"]))
-                    more = np.empty(int(late.sum()), SPAN)
-                    more["idx"], more["start"], more["end"] = w["idx"][late], w["start"][late], w["start"][late] + length
-                    spans, w = np.concatenate([spans, more]), w[~late]
-                    bins = (_mix(w["name"]) % np.uint64(n_bins)).astype(np.int64)
-                    order = np.argsort(bins, kind="stable")
-                    w = w[order]
-                    rows += [(x, 2, zip_.compress(w[a:z].tobytes()), int(z - a)) for x, a, z in _runs(bins[order])]
-                if len(spans):
-                    rows.append((tag % n_bins, 0, merge(spans).tobytes(), 0))
-                if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.int64)), pa.array(cols[1], pa.int32()), pa.array([tag] * len(rows), pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], ["bin", "kind", "tag", "data", "n"])
+                w = w[order]
+                rows += [(x, 2, zip_.compress(w[a:z].tobytes()), int(z - a)) for x, a, z in _runs(bins[order])]
+            if len(spans):
+                rows.append((tag % n_bins, 0, merge(spans).tobytes(), 0))
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.int64)), pa.array(cols[1], pa.int32()), pa.array([tag] * len(rows), pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], ["bin", "kind", "tag", "data", "n"])
 
     def meet(batches):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
         by: dict[int, list] = {}
-        for b in batches:
-            own = [(t, d) for k, t, d in zip(b["kind"].to_pylist(), b["tag"].to_pylist(), b["data"].to_pylist()) if k == 0]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), (pa.int64(), pa.binary()))], ["tag", "spans"])
-            for x, kind, data, n in zip(*(b[c].to_pylist() for c in ("bin", "kind", "data", "n"))):
-                if kind:
-                    by.setdefault(x, []).append((kind, data, n))
+        for x, kind, tag, data, n in _rows(batches, "bin", "kind", "tag", "data", "n"):
+            if kind:
+                by.setdefault(x, []).append((kind, data, n))
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), pa.array([data], pa.binary())], ["tag", "spans"])
         while by:
             _, rows = by.popitem()
             found = []  # (tag, spans)
@@ -358,9 +373,11 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                 found.append((gone["tag"], gone["idx"], gone["start"], gone["start"] + gone["n"] + (length - 1)))
                 e = e[~late]
                 e = e[repeated(e["name"])]
-                if len(e):
-                    of, at = refine(e, _snippets(e, text, length), length)
-                    found.append((e["tag"][of], e["idx"][of], e["start"][of] + at, e["start"][of] + at + length))
+                e = e[np.argsort(e["name"], kind="stable")]
+                for lo, hi in _slices(e["n"], e["name"]):
+                    own = e[lo:hi]
+                    of, at = refine(own, _snippets(own, text, length), length)
+                    found.append((own["tag"][of], own["idx"][of], own["start"][of] + at, own["start"][of] + at + length))
             if windows:
                 w = np.concatenate(windows)
                 w = w[not_first((w["name"],), (w["doc"], w["tag"], w["idx"], w["start"]))]
@@ -376,8 +393,8 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary()))], ["tag", "spans"])
 
     known = buckets.groupBy("tag").agg(F.collect_list("warm").alias("warm"), F.collect_list("hots").alias("hots"))
-    sent = blocks.join(known, "tag", "left").select("tag", "ids", "sizes", "texts", "warm", "hots").mapInArrow(place, "bin long, kind int, tag long, data binary, n long")
-    return sent.repartition(n_bins, "bin").mapInArrow(meet, "tag long, spans binary")
+    sent = blocks.join(known, "tag", "left").select("tag", "ids", "sizes", "texts", "warm", "hots").mapInArrow(lean(place), "bin long, kind int, tag long, data binary, n long")
+    return sent.repartition(n_bins, "bin").mapInArrow(lean(meet), "tag long, spans binary")
 
 
 def _remove(docs: DataFrame, cut, schema, columns: list[str], *, length: int, block_bytes: int, bin_bytes: int, hot: int, keep_rows: bool) -> DataFrame:
@@ -386,7 +403,7 @@ def _remove(docs: DataFrame, cut, schema, columns: list[str], *, length: int, bl
     n_bins = max(8, math.ceil(total / bin_bytes))
     buckets = materialize(count_buckets(blocks.drop("rest"), n_bins, length, hot), "buckets")
     spans = late_spans(blocks.drop("rest"), buckets, n_bins, length).groupBy("tag").agg(F.collect_list("spans").alias("spans"))
-    return blocks.join(spans, "tag", "left").select(*columns).mapInArrow(cut, schema)
+    return blocks.join(spans, "tag", "left").select(*columns).mapInArrow(lean(cut), schema)
 
 
 def _left(texts: list[bytes], found: list[bytes] | None):
@@ -410,8 +427,8 @@ def removals(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_
     """
 
     def cut(batches):
-        for b in batches:
-            for ids, sizes, packed, found in zip(*(b[c].to_pylist() for c in ("ids", "sizes", "texts", "spans"))):
+        for ids, sizes, packed, found in _rows(batches, "ids", "sizes", "texts", "spans"):
+            if ids:
                 out = [(doc, n, n - len(left), spans, hashlib.sha256(left).hexdigest()) for doc, n, (left, spans) in zip(ids, sizes, _left(_texts(sizes, packed), found))]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -430,16 +447,15 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLO
     def cut(batches):
         import zstandard
 
-        for b in batches:
-            for sizes, packed, rest, found in zip(*(b[c].to_pylist() for c in ("sizes", "texts", "rest", "spans"))):
-                rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(rest)).read_all().combine_chunks()
-                texts = [x.decode("utf-8", "ignore") for x, _ in _left(_texts(sizes, packed), found)]
-                new = {"text": pa.array([None if z else x for x, z in zip(texts, rows[null_name].to_pylist())], pa.string())}
-                if "n_chars" in names:
-                    new["n_chars"] = pa.array([len(x) for x in texts]).cast(rows["n_chars"].type)
-                cols = [new[c] if c in new else rows[c].combine_chunks() for c in names]
-                cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in cols]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for sizes, packed, rest, found in _rows(batches, "sizes", "texts", "rest", "spans"):
+            rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(rest)).read_all().combine_chunks()
+            texts = [x.decode("utf-8", "ignore") for x, _ in _left(_texts(sizes, packed), found)]
+            new = {"text": pa.array([None if z else x for x, z in zip(texts, rows[null_name].to_pylist())], pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([len(x) for x in texts]).cast(rows["n_chars"].type)
+            cols = [new[c] if c in new else rows[c].combine_chunks() for c in names]
+            cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in cols]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     flagged = docs.withColumn(null_name, F.col("text").isNull())
     return _remove(flagged, cut, docs.schema, ["sizes", "texts", "rest", "spans"], length=length, block_bytes=block_bytes, bin_bytes=bin_bytes, hot=hot, keep_rows=True)

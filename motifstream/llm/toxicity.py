@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import documents
+from motifstream.llm.common import documents, lean
 
 MAX_TRAIN = 5_000  # labelled rows that the model is fitted on, those with the smallest hashes
 PRECISION, CHANCE, LEAST = 0.95, 0.01, 4
@@ -229,7 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, thr
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(s), pa.array((s >= threshold).astype("int32"))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,7 +242,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN
         for b in batches:
             yield b.filter(pa.array(_scores(b["text"], model, cache) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, 512), docs.schema)
 
 
 def op3_levenshtein(spark, sf_dir):

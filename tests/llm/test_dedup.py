@@ -101,6 +101,19 @@ def plain_removals(texts, n=100):
     return out
 
 
+def test_slices_keep_buckets_whole():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        n, most = r.integers(1, 40, r.integers(1, 30)), int(r.integers(1, 100))
+        name = np.sort(r.integers(0, 8, len(n)))
+        for whole in (None, name):
+            cuts = list(suffixes._slices(n, whole, most))
+            assert [x for a, z in cuts for x in range(a, z)] == list(range(len(n)))
+            assert whole is None or all(name[z - 1] != name[z] for _, z in cuts[:-1])
+            assert all(n[a:z].sum() <= most or (z - a == 1 if whole is None else len(set(name[a:z])) == 1) for a, z in cuts)
+    assert list(suffixes._slices(n[:0])) == list(suffixes._slices(n[:0], name[:0])) == []
+
+
 @pytest.mark.parametrize("options", [{}, {"hot": 2, "block_bytes": 2000, "bin_bytes": 3000}])
 def test_repeats_are_removed(docs, texts, options):
     want = plain_removals(texts)
