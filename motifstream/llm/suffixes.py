@@ -317,7 +317,7 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
             order = np.argsort(bins, kind="stable")
             own = own[order]
             for x, a, z in _runs(bins[order]):
-                rows.append((x, 1, zip_.compress(own[a:z].tobytes() + _snippets(own[a:z], data, length)), int(z - a)))
+                rows.append((x, 1, zip_.compress(own[a:z].tobytes()), zip_.compress(_snippets(own[a:z], data, length)), int(z - a)))
             hots = e[np.isin(e["name"], hots)]
             for lo, hi in _slices(hots["n"]):
                 hot = hots[lo:hi]
@@ -336,50 +336,50 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                 bins = (_mix(w["name"]) % np.uint64(n_bins)).astype(np.int64)
                 order = np.argsort(bins, kind="stable")
                 w = w[order]
-                rows += [(x, 2, zip_.compress(w[a:z].tobytes()), int(z - a)) for x, a, z in _runs(bins[order])]
+                rows += [(x, 2, zip_.compress(w[a:z].tobytes()), None, int(z - a)) for x, a, z in _runs(bins[order])]
             if len(spans):
-                rows.append((tag % n_bins, 0, merge(spans).tobytes(), 0))
+                rows.append((tag % n_bins, 0, merge(spans).tobytes(), None, 0))
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.int64)), pa.array(cols[1], pa.int32()), pa.array([tag] * len(rows), pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], ["bin", "kind", "tag", "data", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.int64)), pa.array(cols[1], pa.int32()), pa.array([tag] * len(rows), pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:4]), pa.array(cols[4], pa.int64())], ["bin", "kind", "tag", "data", "texts", "n"])
 
     def meet(batches):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
         by: dict[int, list] = {}
-        for x, kind, tag, data, n in _rows(batches, "bin", "kind", "tag", "data", "n"):
+        for x, kind, tag, data, text, n in _rows(batches, "bin", "kind", "tag", "data", "texts", "n"):
             if kind:
-                by.setdefault(x, []).append((kind, data, n))
+                by.setdefault(x, []).append((kind, data, text, n))
             else:
                 yield pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), pa.array([data], pa.binary())], ["tag", "spans"])
         while by:
             _, rows = by.popitem()
             found = []  # (tag, spans)
-            entries, texts, windows = [], [], []
-            for kind, data, n in rows:
-                data = unzip.decompress(data)
-                if kind == 1:
-                    entries.append(np.frombuffer(data, ENTRY, n))
-                    texts.append(data[n * ENTRY.itemsize :])
-                else:
-                    windows.append(np.frombuffer(data, WINDOW, n))
-            if entries:
-                e, text = np.concatenate(entries), b"".join(texts)
-                size = e["n"].astype(np.int64) + (length - 1)
-                e["at"] = np.cumsum(size) - size
+            parts, windows = [x[1:] for x in rows if x[0] == 1], [x[1:] for x in rows if x[0] == 2]
+            if parts:
+                e = np.concatenate([np.frombuffer(unzip.decompress(data), ENTRY, n) for data, _, n in parts])
+                part = np.repeat(np.arange(len(parts)), [n for *_, n in parts])
+                ends = np.cumsum(e["n"].astype(np.int64) + (length - 1))
+                e["at"] = ends - (e["n"].astype(np.int64) + (length - 1))
+                e["at"] -= e["at"][np.searchsorted(part, part)]
                 late = not_first((e["name"], e["content"]), (e["doc"], e["tag"], e["idx"], e["start"]))
                 gone = e[late]
                 found.append((gone["tag"], gone["idx"], gone["start"], gone["start"] + gone["n"] + (length - 1)))
-                e = e[~late]
-                e = e[repeated(e["name"])]
+                e, part = e[~late], part[~late]
+                same = repeated(e["name"])
+                e, part = e[same], part[same]
+                # only bytes of entries that are left are kept
+                text = b"".join([_snippets(e[a:z], unzip.decompress(parts[i][1]), length) for i, a, z in _runs(part)])
+                size = e["n"].astype(np.int64) + (length - 1)
+                e["at"] = np.cumsum(size) - size
                 e = e[np.argsort(e["name"], kind="stable")]
                 for lo, hi in _slices(e["n"], e["name"]):
                     own = e[lo:hi]
                     of, at = refine(own, _snippets(own, text, length), length)
                     found.append((own["tag"][of], own["idx"][of], own["start"][of] + at, own["start"][of] + at + length))
             if windows:
-                w = np.concatenate(windows)
+                w = np.concatenate([np.frombuffer(unzip.decompress(data), WINDOW, n) for data, _, n in windows])
                 w = w[not_first((w["name"],), (w["doc"], w["tag"], w["idx"], w["start"]))]
                 found.append((w["tag"], w["idx"], w["start"], w["start"] + length))
             tags = np.concatenate([f[0] for f in found])
@@ -393,7 +393,7 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary()))], ["tag", "spans"])
 
     known = buckets.groupBy("tag").agg(F.collect_list("warm").alias("warm"), F.collect_list("hots").alias("hots"))
-    sent = blocks.join(known, "tag", "left").select("tag", "ids", "sizes", "texts", "warm", "hots").mapInArrow(lean(place), "bin long, kind int, tag long, data binary, n long")
+    sent = blocks.join(known, "tag", "left").select("tag", "ids", "sizes", "texts", "warm", "hots").mapInArrow(lean(place), "bin long, kind int, tag long, data binary, texts binary, n long")
     return sent.repartition(n_bins, "bin").mapInArrow(lean(meet), "tag long, spans binary")
 
 
