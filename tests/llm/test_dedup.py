@@ -86,6 +86,16 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 1 for i in range(1, 30)}, 499: 499, 500: 499}
 
 
+def test_components_of_long_chains(spark):
+    n, r = 1000, random.Random(3)
+    falling, mixed = [0, *range(n - 1, 0, -1)], r.sample(range(n), n)
+    links = list(zip(falling, falling[1:])) + [(n + a, n + b) for a, b in zip(mixed, mixed[1:])]
+    links = spark.createDataFrame(links, "a long, b long")
+    assert {r["node"]: r["component"] for r in components(links).collect()} == {i: i // n * n for i in range(2 * n)}
+    with pytest.raises(RuntimeError):
+        components(links, max_rounds=2)
+
+
 def plain_removals(texts, n=100):
     seen, out = set(), {}
     for i, t in sorted(texts):
