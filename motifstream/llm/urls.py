@@ -13,7 +13,7 @@ from motifstream.llm.common import ascii_lower, materialize
 
 #: Fixed rules: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, FLOOR, RATIO = 0.85, 6, 1e-6, 1.0
+DAMPING, ROUNDS, FLOOR, RATIO = 0.85, 6, 1e-6, 1.0  # FLOOR is of the SQL only
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -64,12 +64,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     return ranks
 
 
-def judge_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int = ROUNDS, floor: float = FLOOR, ratio: float = RATIO) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int = ROUNDS, floor: float = 0.0, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page.
 
     Hosts of pages that a rule allows are the trusted seeds, hosts of pages that a rule blocks the distrusted
     ones. Where no rule fits, a host is blocked if its distrust is above ``floor`` and above ``ratio`` times its
-    trust. Null urls and html, repeated rows and empty tables are fine: no host, no links, no rows.
+    trust. Seeds share a mass of 1, so any ``floor`` but 0 blocks less the more seeds and links there are. Null urls and html, repeated rows and empty tables are fine: no host, no links, no rows.
     """
     host, path = url_parts(F.coalesce("url", F.lit("")))
     named = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html"))

@@ -138,6 +138,13 @@ def test_link_graph(spark):
     assert got[1] == "allow" and got[2] == "block" and got[3] == "block" and got[4] == "allow"
 
 
+def test_many_blocked_hosts_do_not_switch_the_graph_off(spark):
+    link = '<a href="http://hub.net/">x</a>'
+    pages = [(0, "http://hub.net/", "")] + [(i, f"http://s{i}.net/", "") for i in range(1, 3000)] + [(i, f"http://h{i}.com/", link) for i in range(3000, 3050)] + [(4000, "http://lone.com/", "")]
+    got = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).filter("verdict = 'allow'").collect()
+    assert [r["page_id"] for r in got] == [4000]
+
+
 def test_packing(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
