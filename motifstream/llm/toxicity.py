@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -121,6 +122,27 @@ class Lexicon:
         return end if best < 0 else best if end < 0 else min(best, end)
 
 
+def quotation(text: str, words: list[str]) -> Callable[[int], bool]:
+    """Whether the word at a place of ``words``, the tokens of ``text``, is quoted or reported there."""
+    marks = bool(QUOTES.search(text))
+    low = text.lower() if marks else ""
+    spans: list[tuple[int, int]] = []
+
+    def reported(i: int) -> bool:
+        if not REPORTS.isdisjoint(words[max(0, i - BEFORE) : i + AFTER + 1]):
+            return True
+        if not marks:
+            return False
+        if not spans:
+            spans.extend(x.span() for x in _TOKEN.finditer(low))
+        # at an end of the text, marks outside its first and last word count too
+        a = spans[i - BEFORE][0] if i > BEFORE else 0
+        b = spans[i + AFTER][1] if i + AFTER < len(spans) - 1 else len(low)
+        return bool(QUOTES.search(low, a, spans[i][0]) and QUOTES.search(low, spans[i][1], b))
+
+    return reported
+
+
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
     """1, then logarithms of direct exact, direct misspelled and quoted hits, and direct hits to the root of the words."""
     words = tokens(text)
@@ -128,24 +150,32 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
     hits = [(i, m) for i, m in enumerate(map(match, words)) if m >= 0]
     exact = fuzzy = quoted = 0
     if hits:
-        spans = None
-        marks = bool(QUOTES.search(text))
+        is_reported = quotation(text, words)
         for i, m in hits:
-            reported = not REPORTS.isdisjoint(words[max(0, i - BEFORE) : i + AFTER + 1])
-            if marks and not reported:
-                spans = spans or [x.span() for x in _TOKEN.finditer(text.lower())]
-                a, b = spans[max(0, i - BEFORE)][0], spans[min(len(spans) - 1, i + AFTER)][1]
-                reported = bool(QUOTES.search(text[a : spans[i][0]]) and QUOTES.search(text[spans[i][1] : b]))
+            reported = is_reported(i)
             quoted += reported
             exact += not reported and m == 0
             fuzzy += not reported and m > 0
     return 1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), (exact + fuzzy) / math.sqrt(len(words) or 1)
 
 
+def direct_words(text: str | None) -> set[str]:
+    """The words, of letters enough for a term, that are at least once neither quoted nor reported."""
+    words, out = tokens(text), set()
+    reported = quotation(text or "", words)
+    for i, x in enumerate(words):
+        if len(x) >= PREFIXES[0] and x not in out and not reported(i):
+            out.add(x)
+    return out
+
+
 def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
-    """Words and word beginnings that mark toxic texts too well for chance, with an edit each where that stays precise."""
+    """Words and word beginnings that mark toxic texts too well for chance, with an edit each where that stays precise.
+
+    A text counts for a word only by direct occurrences: to quote or report it says nothing about the word.
+    """
     same: dict[str, str] = {}  # one string for each word: the driver's memory is small
-    bags = [frozenset(same.setdefault(x, x) for x in tokens(t) if len(x) >= PREFIXES[0]) for t in texts]
+    bags = [frozenset(same.setdefault(x, x) for x in direct_words(t)) for t in texts]
     rate = max(1e-6, sum(toxic) / max(1, len(toxic)))
     parts = lambda bag: bag | {f"{x[:n]}*" for x in bag for n in PREFIXES if len(x) >= n}
     bad = Counter(x for bag, y in zip(bags, toxic) if y for x in parts(bag))

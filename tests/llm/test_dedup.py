@@ -261,6 +261,23 @@ def test_toxicity_on_held_out_labels(toxic, frame):
     assert toxicity.score(frame([]), labels).collect() == []
 
 
+def test_terms_that_clean_texts_quote_are_learned():
+    r = random.Random(5)
+    texts, toxic = [], []
+    for i in range(400):
+        t, bad = prose(r, 40).split(" "), i % 4 == 0
+        if bad or i % 4 == 1:
+            w = r.choice(["moronic", "vermin"])
+            t[r.randrange(len(t))] = w if bad else f'"{w}"' if i % 8 == 1 else f"said {w}"
+        texts.append(" ".join(t))
+        toxic.append(int(bad))
+    lexicon = toxicity.learn_lexicon(texts, toxic)
+    assert [lexicon.match(x) for x in ("moronic", "vermin")] == [0, 0]
+    weights = toxicity.fit_logistic(np.array([toxicity.features(t, lexicon) for t in texts]), np.array(toxic, float))
+    scores = 1 / (1 + np.exp(-np.array([toxicity.features(t, lexicon) for t in texts]) @ weights))
+    assert ((scores >= toxicity.THRESHOLD) == np.array(toxic)).all()
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path, texts, frame, toxic):
     import corpus_pipeline
 
