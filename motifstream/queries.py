@@ -172,6 +172,24 @@ _add("homo_once_delta", lambda s, d: delta.anchored(EQUAL, adj(s, d), AFTER, UPT
      _with(f"SELECT st AS seq, count(*) AS positives FROM found WHERE st > {AFTER} AND st <= {UPTO} GROUP BY 1", EQUAL, True))
 _add("homo_multiplicity_delta", lambda s, d: delta.anchored(EQUAL, adj(s, d), AFTER, UPTO, homo=True, homo_multiplicity=True).groupBy("seq").agg(F.count("*").alias("positives")),
      _with(f"SELECT st AS seq, sum({' + '.join(f'(s{i} = st)::INT' for i in range(4))})::BIGINT AS positives FROM found WHERE st > {AFTER} AND st <= {UPTO} GROUP BY 1", EQUAL, True))
+
+
+def _whole(run):
+    """``run(adj, after, upto)`` over all updates: after 0 up to the last one."""
+
+    def over(spark, sf):
+        a = adj(spark, sf)
+        last = delta.update_events(a).agg(F.max("seq").alias("m")).first()["m"] or 0
+        return run(a, 0, last)
+
+    return over
+
+
+_count = lambda found: found.groupBy("seq").agg(F.count("*").alias("positives"))
+_add("anchored_delta_whole", _whole(lambda a, after, upto: delta.anchored_deltas(CYCLE, a, after, upto)), _with(_DELTAS, CYCLE))
+_add("homo_once_delta_whole", _whole(lambda a, after, upto: _count(delta.anchored(EQUAL, a, after, upto, homo=True))), _with("SELECT st AS seq, count(*) AS positives FROM found WHERE st > 0 GROUP BY 1", EQUAL, True))
+_add("homo_multiplicity_delta_whole", _whole(lambda a, after, upto: _count(delta.anchored(EQUAL, a, after, upto, homo=True, homo_multiplicity=True))),
+     _with(f"SELECT st AS seq, sum({' + '.join(f'(s{i} = st)::INT' for i in range(4))})::BIGINT AS positives FROM found WHERE st > 0 GROUP BY 1", EQUAL, True))
 _add("max_results_cap", lambda s, d: m.cap(m.deltas(_found(CYCLE)(s, d)), CAP), _with(f"SELECT seq, least(positives, {CAP}) AS positives, least(negatives, {CAP}) AS negatives FROM ({_DELTAS})", CYCLE))
 
 
