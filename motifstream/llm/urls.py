@@ -13,7 +13,8 @@ from motifstream.llm.common import ascii_lower, materialize
 
 #: Fixed rules: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, FLOOR, RATIO = 0.85, 6, 1e-6, 1.0  # FLOOR is of the SQL only
+DAMPING, ROUNDS, FLOOR, RATIO = 0.85, 6, 1e-6, 1.0  # ROUNDS and FLOOR are of the SQL only
+SETTLED, LEAST = 1e-6, 1e-300  # relative change, and score, below which a score no longer counts as moving
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -41,11 +42,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return out.filter((F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) from ``seeds`` (host, trust, distrust; each column sums to about 1).
 
     Each round is one join on the host a score flows from (adaptive execution splits hot hosts) and one sum
-    with partial aggregation; it ends early once nothing changes.
+    with partial aggregation. Rounds go on until every host's scores are settled, those of hosts first reached
+    included, so links are followed however far they lead; ``rounds`` asks for so many instead.
     """
     out = edges.groupBy("src").agg(F.sum("w").alias("out_w"))
     into = edges.groupBy("dst").agg(F.sum("w").alias("in_w"))
@@ -54,17 +56,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
     flow = materialize(fwd.unionByName(rev), "host-edges")
     if flow.isEmpty():
         return seeds
-    ranks = seeds
-    for _ in range(rounds):
+    ranks, done = seeds, 0
+    while rounds is None or done < rounds:
         got = flow.join(ranks, flow["a"] == ranks["host"]).groupBy(F.col("b").alias("host")).agg(
             F.sum(F.col("pt") * F.col("trust")).alias("gt"), F.sum(F.col("pd") * F.col("distrust")).alias("gd"))
         parts = got.select("host", (damping * F.col("gt")).alias("trust"), (damping * F.col("gd")).alias("distrust")).unionByName(
             seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust")))
-        ranks = materialize(parts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-ranks")
+        before, ranks = ranks, materialize(parts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-ranks")
+        done += 1
+        if rounds is None:
+            was = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+            moves = lambda new, old: F.abs(F.col(new) - F.coalesce(old, F.lit(0.0))) > SETTLED * F.col(new) + LEAST
+            if ranks.join(was, "host", "left").filter(moves("trust", "t") | moves("distrust", "d")).isEmpty():
+                break
     return ranks
 
 
-def judge_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int = ROUNDS, floor: float = 0.0, ratio: float = RATIO) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int | None = None, floor: float = 0.0, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page.
 
     Hosts of pages that a rule allows are the trusted seeds, hosts of pages that a rule blocks the distrusted

@@ -145,6 +145,18 @@ def test_many_blocked_hosts_do_not_switch_the_graph_off(spark):
     assert [r["page_id"] for r in got] == [4000]
 
 
+def test_links_are_followed_until_scores_settle(spark):
+    hosts = ["bad.net", *(f"h{i}.com" for i in range(1, 10))]
+    pages = [(i, f"http://{h}/", f'<a href="http://{hosts[i - 1]}/">x</a>' if i else None) for i, h in enumerate(hosts)]
+    assert {r["verdict"] for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"block"}
+    links = {("a", "b"): 1, ("b", "a"): 2, ("b", "c"): 1, ("c", "d"): 3, ("d", "a"): 1}
+    seeds = {"a": (1.0, 0.0), "d": (0.0, 1.0)}
+    edges = spark.createDataFrame([(*k, w) for k, w in links.items()], "src string, dst string, w long")
+    got = urls.propagate(edges, spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double"), damping=0.3)
+    want = plain_ranks(links, seeds, rounds=200, d=0.3)
+    assert {r["host"]: (r["trust"], r["distrust"]) for r in got.collect()} == {h: pytest.approx(x, rel=1e-5) for h, x in want.items()}
+
+
 def test_packing(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
