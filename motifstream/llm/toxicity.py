@@ -223,12 +223,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights from at most ``max_train`` labelled texts outside the held-out quarter.
 
-    The sample is the labelled rows with the smallest hash of their id. Of texts that begin alike one counts.
+    The sample is the labelled rows with the smallest hash of their id. Of texts with the same words and label one counts.
     """
     own = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(own, "doc_id").select("text", "toxic").toPandas()
-    rows = rows.assign(head=rows["text"].str[:100]).sort_values(["head", "text"]).drop_duplicates("head")
+    rows = rows.assign(words=[hash(" ".join(tokens(t))) for t in rows["text"]]).sort_values(["text", "toxic"]).drop_duplicates(["words", "toxic"])
     texts, toxic = rows["text"].tolist(), [int(x > 0) for x in rows["toxic"]]
     lexicon = learn_lexicon(texts, toxic)
     if not texts:

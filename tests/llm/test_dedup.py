@@ -278,6 +278,13 @@ def test_terms_that_clean_texts_quote_are_learned():
     assert ((scores >= toxicity.THRESHOLD) == np.array(toxic)).all()
 
 
+def test_texts_that_begin_alike_are_all_learned_from(toxic, spark):
+    docs, labels = toxic
+    same = docs.select("doc_id", toxicity.F.concat(toxicity.F.lit("home about contact " * 8), "text").alias("text"))
+    lexicon, _ = toxicity.fit(same, labels)
+    assert all(lexicon.match(x) == 0 for x in ("moronic", "imbecile", "vermin", "pathetic"))
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path, texts, frame, toxic):
     import corpus_pipeline
 
