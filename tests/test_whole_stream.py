@@ -20,3 +20,14 @@ def test_anchored_queries_cover_the_whole_stream(spark):
     many = dict(rows(q.QUERIES["homo_multiplicity_delta_whole"](spark, SF)))
     assert many.keys() == dict(once).keys() and all(many[seq] >= n for seq, n in once) and many != dict(once)
     adj.unpersist()
+
+
+def test_all_mappings_and_both_signs(spark):
+    adj = q.adj(spark, SF).cache()
+    initial = m.initial_count(m.matches(q.SELECTIVE, adj)).first()["initial"]
+    got = q.QUERIES["enumerate_matches_whole"](spark, SF)
+    assert got.filter("seq = 0").distinct().count() == initial > q.CAP
+    n = {r["is_add"]: r["n"] for r in q.QUERIES["update_kinds"](spark, SF).collect()}
+    change = q.QUERIES["nlf_change_signed"](spark, SF).agg(q.F.sum("n").alias("n"), q.F.min("n").alias("low")).first()
+    assert change["n"] == 2 * (n[True] - n[False]) and change["low"] < 0
+    adj.unpersist()
