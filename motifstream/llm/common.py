@@ -14,9 +14,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="motifstream-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -32,7 +34,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``materialize`` that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``left`` with ``right`` on null-safe equal ``keys`` (left name -> right name), right's key columns dropped.
+
+    Rows of ``left`` are dealt over ``salts`` copies of ``right``, so a key of a third of all rows is spread whatever
+    join Spark chooses; ``right`` has to be the small side.
+    """
+    own, other = free_name("_salt", left.columns + right.columns), free_name("_salt_of", left.columns + right.columns)
+    a = left.withColumn(own, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    b = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = a[own] == b[other]
+    for x, y in keys.items():
+        on = on & a[x].eqNullSafe(b[y])
+    return a.join(b, on, how).drop(own, other, *keys.values())
 
 
 def lean(run, rows: int = 10_000):
