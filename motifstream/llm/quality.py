@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import ascii_lower, documents, free_name
+from motifstream.llm.common import ascii_lower, documents, free_name, materialize, salted_join
 
 MAX_DOCS, MAX_PERCENT = 20, 2  # a line goes if more documents than both hold it, of its host
 MIN_WORDS, LEFT_PERCENT = 20, 50  # a document needs so many words after that, and so much of what it had
@@ -76,32 +76,47 @@ def normal_lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09-\x0D]+", " ")))
 
 
+def _document(docs: DataFrame) -> Column:
+    """Tells rows without an id apart: each is a document of its own."""
+    return F.when(docs["doc_id"].isNull(), F.monotonically_increasing_id())
+
+
 def doc_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, host, pos, line, n): hash and words of each line with a word."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("source").alias("host"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "x"))
+    """(doc_id, row, th, host, pos, line, n): hash and words of each line with a word; ``row`` numbers rows without an id."""
+    lines = docs.select("doc_id", _document(docs).alias("row"), F.xxhash64("text").alias("th"), F.col("source").alias("host"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "x"))
     words = F.length("x") - F.length(F.replace("x", F.lit(" "), F.lit(""))) + 1
-    return lines.filter(F.col("x") != "").select("doc_id", "th", "host", "pos", F.xxhash64("x").alias("line"), words.cast("long").alias("n"))
+    return lines.filter(F.col("x") != "").select("doc_id", "row", "th", "host", "pos", F.xxhash64("x").alias("line"), words.cast("long").alias("n"))
 
 
-def frequent_lines(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_percent: int = MAX_PERCENT) -> DataFrame:
-    """(host, line, n_docs): lines above both limits. A document counts once however often it repeats a line.
+def shared_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """The rows of ``doc_lines`` whose line more than ``max_docs`` rows of its host hold, in the shared folder.
 
-    Counts are summed before they are shuffled, so a line of a third of all documents costs a row a task. As
-    each such line is in over ``max_percent`` of a host's documents, a host has at most 100 / ``max_percent``
-    times its lines per document of them.
+    Counts of rows are summed before they are shuffled, so a line of a third of all documents costs a row a task. They
+    are at least the counts of documents, so every frequent line is among these few.
     """
     once = F.array_distinct(F.transform(F.filter(normal_lines(F.col("text")), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    held = docs.select(F.col("source").alias("host"), F.explode(once).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    totals = docs.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("host_docs"))
+    held = docs.select(F.col("source").alias("h"), F.explode(once).alias("l")).groupBy("h", "l").agg(F.count("*").alias("rows")).filter(F.col("rows") > max_docs).drop("rows")
+    return materialize(salted_join(doc_lines(docs), held, {"host": "h", "line": "l"}), "shared-lines")
+
+
+def frequent_lines(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_percent: int = MAX_PERCENT, shared: DataFrame | None = None) -> DataFrame:
+    """(host, line, n_docs): lines above both limits.
+
+    Distinct documents are counted: one that repeats a line, or is given in several rows, counts once. As each such
+    line is in over ``max_percent`` of a host's documents, a host has at most 100 / ``max_percent`` times its lines per
+    document of them.
+    """
+    shared = shared if shared is not None else shared_lines(docs, max_docs)
+    held = shared.select("host", "line", "doc_id", "row").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    totals = docs.select(F.col("source").alias("h"), "doc_id", _document(docs).alias("row")).distinct().groupBy("h").agg(F.count("*").alias("host_docs"))
     many = held.filter(F.col("n_docs") > max_docs)
     return many.join(totals, many["host"].eqNullSafe(totals["h"])).filter(F.col("n_docs") * 100 > F.col("host_docs") * max_percent).select("host", "line", "n_docs")
 
 
-def remove_frequent_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def remove_frequent_lines(shared: DataFrame, frequent: DataFrame) -> DataFrame:
     """(doc_id, th, n_removed_lines, n_removed_words) of documents that hold frequent lines."""
-    own = doc_lines(docs)
-    f = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
-    hit = own.join(f, own["host"].eqNullSafe(f["h"]) & (own["line"] == f["l"])).groupBy("doc_id", "th", "host", "pos").agg(F.max("n").alias("n"))
+    own = salted_join(shared, frequent.select(F.col("host").alias("h"), F.col("line").alias("l")), {"host": "h", "line": "l"})
+    hit = own.groupBy("doc_id", "th", "host", "pos").agg(F.max("n").alias("n"))
     gone = hit.groupBy("doc_id", "th", "host").agg(F.count("*").alias("lines"), F.sum("n").alias("words"))
     return gone.groupBy("doc_id", "th").agg(F.max("lines").alias("n_removed_lines"), F.max("words").alias("n_removed_words"))
 
@@ -110,18 +125,20 @@ def clean_texts(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its frequent lines: the operator's real output."""
     gone, host = free_name("_gone", docs.columns), free_name("_host", docs.columns)
     per_host = frequent.groupBy("host").agg(F.collect_set("line").alias(gone)).withColumnRenamed("host", host)  # bounded, see frequent_lines
-    both = docs.join(per_host, docs["source"].eqNullSafe(per_host[host]), "left")
+    both = salted_join(docs, per_host, {"source": host}, "left")
     keep = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.coalesce(gone, F.array().cast("array<bigint>")), F.xxhash64(F.trim(F.regexp_replace(ascii_lower(x), r"[\x20\x09-\x0D]+", " ")))))
-    return both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))).drop(host, gone)
+    return both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))).drop(gone)
 
 
 def judge_quality(docs: DataFrame, *, max_docs: int = MAX_DOCS, max_percent: int = MAX_PERCENT, min_words: int = MIN_WORDS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """The counts of each document, what line removal takes from it, and whether it is kept.
 
-    Null texts count zeros and fail; null hosts are one host; rows that share id and text get equal results; an
-    empty table gives no rows; other columns are ignored.
+    Null texts count zeros and fail; null hosts are one host; rows that share an id are one document to the counts of
+    documents, rows without an id are one each; rows that share id and text get equal results; an empty table gives no
+    rows; other columns are ignored.
     """
-    gone = remove_frequent_lines(docs, frequent_lines(docs, max_docs=max_docs, max_percent=max_percent)).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    shared = shared_lines(docs, max_docs)
+    gone = remove_frequent_lines(shared, frequent_lines(docs, max_docs=max_docs, max_percent=max_percent, shared=shared)).withColumnsRenamed({"doc_id": "d", "th": "t"})
     base = base_counts(docs)
     both = base.join(gone, base["doc_id"].eqNullSafe(gone["d"]) & base["th"].eqNullSafe(gone["t"]), "left")
     lines, words = F.coalesce("n_removed_lines", F.lit(0)), F.coalesce("n_removed_words", F.lit(0))
@@ -144,7 +161,7 @@ def _sql() -> str:
         lined AS (SELECT doc_id, source, x, trim(regexp_replace(translate(x, '{upper}', '{lower}'), '{space}', ' ', 'g')) AS line FROM raw WHERE regexp_matches(x, '{word}')),
         dups AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM lined GROUP BY 1),
         held AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM lined GROUP BY 1, 2),
-        totals AS (SELECT source, count(*) AS host_docs FROM d GROUP BY 1),
+        totals AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM d GROUP BY 1),
         frequent AS (SELECT source, line FROM held JOIN totals USING (source) WHERE n_docs > {MAX_DOCS} AND n_docs * 100 > host_docs * {MAX_PERCENT}),
         gone AS (SELECT doc_id, count(*) AS n_removed_lines, sum(len(regexp_extract_all(line, '{word}')))::BIGINT AS n_removed_words FROM lined JOIN frequent USING (source, line) GROUP BY 1),
         grams AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d)),

@@ -50,6 +50,15 @@ def test_frequent_lines_go(frame):
     assert out[99] == "short" and "SAME" not in out[3] and out[None] is None
 
 
+def test_a_document_in_many_rows_counts_once(frame):
+    own = lambda i: f"own line number {i} has several words in it {i * i}\nmore of {i} and its very own words follow so on and on {i}"
+    again = (99, own(99) + "\nonly this document says so")
+    d = frame([(i, own(i)) for i in range(40)] + [again] * 30 + [(None, own(i) + "\nnameless ones say so") for i in range(100, 130)]).withColumn("source", quality.F.lit("host"))
+    assert [r["n_docs"] for r in quality.frequent_lines(d).collect()] == [30]
+    got = {(r["doc_id"], r["n_removed_lines"], r["n_removed_words"]) for r in quality.judge_quality(d).collect()}
+    assert got == {(i, 0, 0) for i in (*range(40), 99)} | {(None, 1, 4)}
+
+
 def test_empty_tables(frame, spark):
     d = frame([])
     for f in (quality.judge_quality, licenses.scan_licenses, sharding.shuffle_shards, packing.pack):
