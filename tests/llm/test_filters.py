@@ -63,31 +63,46 @@ def test_empty_tables(frame, spark):
     d = frame([])
     for f in (quality.judge_quality, licenses.scan_licenses, sharding.shuffle_shards, packing.pack):
         assert f(d).collect() == []
+    assert sharding.shard_digests(d, new_path(spark, "shards")).collect() == []
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = new_path(spark, "warc")
     assert urls.judge_urls(pages).collect() == [] and warc.read_bundles(warc.write_bundles(pages, folder), folder).collect() == []
 
 
 @pytest.mark.parametrize("bucket_bytes", [1 << 24, 300])
-def test_shards(docs, texts, bucket_bytes):
-    rows = sharding.shuffle_shards(docs, bucket_bytes=bucket_bytes).collect()
+def test_shards(docs, texts, spark, bucket_bytes):
+    shards = lambda d, **o: sharding.shard_digests(d, new_path(spark, "shards"), **o).collect()
+    rows = shards(docs, bucket_bytes=bucket_bytes)
     by = defaultdict(list)
     for r in rows:
         by[r["shard"]].append(r["slot"])
         t = (dict(texts)[r["doc_id"]] or "").encode()
         assert r["size"] == len(t) + 8 and r["text_crc32"] == zlib.crc32(t) and r["grown_shard"] in (r["shard"], 24)
     assert len(rows) == len(texts) and all(sorted(x) == list(range(len(x))) for x in by.values()) and set(by) <= set(range(24))
-    again = {r["doc_id"]: r["shard"] for r in sharding.shuffle_shards(docs.filter("doc_id % 2 = 0")).collect()}
+    again = {r["doc_id"]: r["shard"] for r in shards(docs.filter("doc_id % 2 = 0"))}
     assert all(again[r["doc_id"]] == r["shard"] for r in rows if r["doc_id"] in again)
-    grown = {r["doc_id"]: r["shard"] for r in sharding.shuffle_shards(docs, n_shards=25).collect()}
+    grown = {r["doc_id"]: r["shard"] for r in shards(docs, n_shards=25)}
     assert all(grown[r["doc_id"]] == r["grown_shard"] for r in rows)
 
 
 def test_shards_are_written_in_shuffled_order(docs, texts, spark, tmp_path):
-    sharding.write_shards(docs, str(tmp_path / "out"), n_shards=2)
-    rows = spark.read.parquet(str(tmp_path / "out")).filter("_shard = 0").orderBy("_slot").select("doc_id", "text").collect()
+    clash = docs.withColumn("_shard", sharding.F.lit("own"))
+    back, shard, slot = sharding.write_shards(clash, str(tmp_path / "out"), n_shards=2)
+    assert shard == "_shard_" and set(back.columns) == {*clash.columns, shard, slot}
+    rows = back.filter(f"{shard} = 0").orderBy(slot).collect()
     ids = [r["doc_id"] for r in rows]
-    assert ids != sorted(ids) and all(dict(texts)[r["doc_id"]] == r["text"] for r in rows)
+    assert ids != sorted(ids) and all(dict(texts)[r["doc_id"]] == r["text"] and r["_shard"] == "own" for r in rows)
+    # a file holds its records in the order of their slots
+    for f in (tmp_path / "out").glob("*/*.parquet"):
+        at = [r[slot] for r in spark.read.parquet(str(f)).select(slot).collect()]
+        assert at == sorted(at)
+
+
+def test_buckets_of_a_hot_key_are_memory_sized(frame):
+    rows = [(7, "x" * 92)] * 2000 + [(i, "y" * 92) for i in range(1000, 5000)] + [(None, None)]
+    made = sharding.scatter(frame(rows), bucket_bytes=5000).select("shard", "bucket", sharding.F.size("records").alias("n")).collect()
+    assert sum(r["n"] for r in made) == len(rows) and len({r["bucket"] for r in made}) == len(made)
+    assert max(r["n"] for r in made) <= 2 * 50
 
 
 LICENSED = [
