@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import math
+import re
 import zlib
 from collections import defaultdict
 
@@ -23,26 +25,37 @@ from motifstream.llm.common import documents, lean, materialize
 
 CAPACITY, END_ID = 2048, 0
 CACHE = 300_000  # word encodings that a worker keeps
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
     """Ids of a text as little-endian 32-bit bytes, remembering the ids of space-led words.
 
-    The vocabulary's pattern never joins a word to the space after it, so a text without double or trailing
-    spaces can be encoded word by word, each with the space before it. Other texts are encoded whole.
+    Special tokens of the vocabulary that stand in a text get their own ids, as its tokenizer gives them; between them
+    the vocabulary's pattern never joins a word to the space after it, so a stretch without double or trailing spaces
+    can be encoded word by word, each with the space before it. Other stretches are encoded whole.
     """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, vocabulary_path: str):
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(vocabulary_path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError(f"{vocabulary_path}: special tokens that depend on their surroundings")
+        self.special = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if added else lambda text: [text]
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
+        return b"".join([self.special[x] if i % 2 else self._plain(x) for i, x in enumerate(self.split(text))])
+
+    def _plain(self, text: str) -> bytes:
         if "  " in text or text.endswith(" "):
             return np.array(self.encode(text), "<u4").tobytes()
         head, *rest = text.split(" ")
@@ -58,17 +71,18 @@ class ChunkEncoder:
         return np.array(self.encode(head), "<u4").tobytes() + tail
 
 
-def encoder(ranks_path: str) -> ChunkEncoder:
-    if ranks_path not in _ENCODERS:
-        _ENCODERS[ranks_path] = ChunkEncoder(ranks_path)
-    return _ENCODERS[ranks_path]
+def encoder(ranks_path: str, vocabulary_path: str) -> ChunkEncoder:
+    key = ranks_path, vocabulary_path
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(*key)
+    return _ENCODERS[key]
 
 
-def default_ranks() -> str:
-    """The rank file of the vocabulary in byte_bpe_50k.json: same ids."""
+def default_vocabulary() -> tuple[str, str]:
+    """The rank file of the vocabulary in byte_bpe_50k.json (same ids), and that file, which names its special tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -77,12 +91,15 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, *, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for each document's ids and the end id; a null text is empty."""
-    path = ranks_path or default_ranks()
+def token_pieces(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) for each document's ids and the end id; a null text is empty.
+
+    ``vocabulary`` is a rank file and the vocabulary file that names its special tokens.
+    """
+    paths = vocabulary or default_vocabulary()
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(*paths)
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"]):
@@ -138,7 +155,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tup
     return slots
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, ranks_path: str | None = None, bucket_rows: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None, bucket_rows: int = 100_000) -> DataFrame:
     """Every piece of every document with its sequence and its offset there.
 
     Pieces are written to the shared folder once; ranks within a length are counted in buckets of about
@@ -146,7 +163,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, ranks_path: str | None =
     spread. An empty text has the end id alone; null ids and repeated rows are packed like any other.
     """
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, capacity=capacity, ranks_path=ranks_path).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    pieces = materialize(token_pieces(docs, capacity=capacity, vocabulary=vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.sparkContext.broadcast({k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in plan(counts, capacity).items()})
     n = max(1, math.ceil(sum(counts.values()) / bucket_rows))

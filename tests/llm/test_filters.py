@@ -186,7 +186,6 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in texts}
     rows = packing.pack(docs, bucket_rows=7).collect()
     by, seqs = defaultdict(list), defaultdict(list)
@@ -216,10 +215,16 @@ def test_packing(docs, texts):
     assert len(seqs) == len(room)
 
 
-def test_word_cache_equals_whole_texts(texts):
-    enc = packing.encoder(packing.default_ranks())
-    for _, t in texts:
-        assert enc.ids(t or "") == np.array(enc.encode(t or ""), "<u4").tobytes()
+def test_ids_are_those_of_the_tokenizer(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(*packing.default_vocabulary())
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x<|endoftext|>\n\n  y  ", "<|endof text|>", "a  b", " a", "\u00a0\u2003 z ", "\u0130\u0301 \ud55c\uae00 12345's"]
+    for x in [*(t or "" for _, t in texts), *odd]:
+        assert enc.ids(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x[:80]
+    assert np.frombuffer(enc.ids(odd[0]), "<u4").tolist() == [64, 220, 50256, 275]
 
 
 def test_archives(spark, tmp_path):
