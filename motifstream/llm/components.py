@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import materialize
+from motifstream.llm.common import materialize, release
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,11 +25,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         own = materialize(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), "near"), "near-labels")
         hook = own.filter("near < was").groupBy(F.col("was").alias("root")).agg(F.min("near").alias("hook"))
-        own = own.join(hook, own["node"] == hook["root"], "left").select("node", "was", F.least("was", "near", "hook").alias("now"))
-        own = materialize(own, "hooked-labels")
-        jump = own.select(F.col("node").alias("at"), F.col("now").alias("far"))
-        labels = materialize(own.join(jump, own["now"] == jump["at"], "left").select("node", F.least("now", F.coalesce("far", "now")).alias("component"), (F.col("was") > F.least("now", F.coalesce("far", "now"))).alias("moved")), "labels")
+        hooked = materialize(own.join(hook, own["node"] == hook["root"], "left").select("node", "was", F.least("was", "near", "hook").alias("now")), "hooked-labels")
+        jump = hooked.select(F.col("node").alias("at"), F.col("now").alias("far"))
+        before = labels
+        labels = materialize(hooked.join(jump, hooked["now"] == jump["at"], "left").select("node", F.least("now", F.coalesce("far", "now")).alias("component"), (F.col("was") > F.least("now", F.coalesce("far", "now"))).alias("moved")), "labels")
+        release(before, own, hooked)
         if labels.filter("moved").isEmpty():
+            release(both)
             return labels.select("node", "component")
-        labels = labels.drop("moved")
     raise RuntimeError(f"components: labels still move after {max_rounds} rounds")

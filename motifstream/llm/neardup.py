@@ -1,9 +1,11 @@
 """Near-duplicates by MinHash bands, odd sketches and exact confirmation.
 
 Texts of equal words are one class. MinHash bands of the classes make buckets; in each bucket all members are
-compared with its smallest one, then those that still are in other components with each other. A pair is dropped
-if parity bitmaps of its full sets prove it to be no link, or if its odd sketches (parity bitmaps of the MinHash
-samples) put its similarity far too low; the full shingle sets decide on the rest.
+compared with its leader, the member whose buckets are largest (the text that a group of copies was made from), then
+with a second one where components are left apart. A pair is dropped if parity bitmaps of its full sets prove it to
+be no link, or if its odd sketches (parity bitmaps of the MinHash samples) put its similarity far too low; the full
+shingle sets decide on the rest. What two leaders leave apart meets by its rarest shingles: two sets that overlap
+enough share one of these, so that no link is lost and members that are only alike do not meet.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import documents, lean, materialize
+from motifstream.llm.common import documents, lean, materialize, release
 from motifstream.llm.components import components
 
 WORDS = 5  # of a shingle
@@ -26,6 +28,9 @@ PERCENT = 80
 QUERY_WORDS = 4  # what the query op4 asks for
 MARGIN = 0.25  # of the sketch's estimate below the threshold: seven deviations of 128 samples
 CACHE = 500_000
+LEADERS = 2  # of a bucket, before rare shingles
+COUNTERS = 1 << 18  # of shingles: their order is by these, so the numbers that go to the driver have a fixed size
+SIZE_STEP = 1.05  # from one class of set sizes to the next
 _RNG = np.random.default_rng(4)
 _MUL = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -107,27 +112,31 @@ def most_flipped(similarity: float) -> int:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, class, n_shingles, bands, sketch, parity) for every row; ``class`` is a digest of all its words."""
+    """(doc_id, class, n_shingles, bands, sketch, parity, z) for every row; ``class`` is a digest of all its words, ``z`` its compressed text."""
 
     def run(batches):
-        own = Shingler(words)
+        import zstandard
+
+        own, zip_ = Shingler(words), zstandard.ZstdCompressor(level=1)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part, out = b.slice(lo, 512), []
                 for text in part["text"]:
-                    ws = own.split(text.as_py())
+                    t = text.as_py()
+                    ws = own.split(t)
                     sh = own.shingles(ws)
                     if len(sh):
                         m = minhash(sh)
-                        out.append((own.digest(b" ".join(ws)), len(sh), band_keys(m), odd_sketch(m), parity(sh)))
+                        out.append((own.digest(b" ".join(ws)), len(sh), band_keys(m), odd_sketch(m), parity(sh), zip_.compress(t.encode())))
                     else:
-                        out.append((None, 0, None, None, None))
+                        out.append((None, 0, None, None, None, None))
                 cols = list(zip(*out))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), *(pa.array(c, longs) for c in cols[2:])], ["doc_id", "class", "n_shingles", "bands", "sketch", "parity"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), *(pa.array(c, longs) for c in cols[2:5]), pa.array(cols[5], pa.binary())],
+                    ["doc_id", "class", "n_shingles", "bands", "sketch", "parity", "z"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, class binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id {kind}, class binary, n_shingles long, bands array<long>, sketch array<long>, parity array<long>, z binary")
 
 
 def _flipped(x: str, y: str) -> Column:
@@ -135,103 +144,194 @@ def _flipped(x: str, y: str) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)])
 
 
-def _sides(classes: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a pair: a, na, b, nb and the named columns with the side's letter."""
-    return tuple(classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
-
-
-def _possible(percent: int) -> Column:
-    """False only for pairs that cannot reach the threshold: sizes too different, or too many shingles in one set only."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int, sketched: bool = True) -> DataFrame:
+    """Pairs whose bitmaps do not rule out the threshold: sizes too different, too many shingles in one set only, or (if
+    ``sketched``) a similarity that the odd sketches put far too low."""
+    a, b = (classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return sized & (_flipped("parity_a", "parity_b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-
+    possible = sized & (_flipped("parity_a", "parity_b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    if sketched:
+        possible = possible & (_flipped("sketch_a", "sketch_b") <= most_flipped(percent / 100 - MARGIN))
+    return pairs.join(a, "a").join(b, "b").filter(possible).select("a", "b")
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bitmaps do not rule out the threshold."""
-    a, b = _sides(classes, "sketch", "parity")
-    likely = _flipped("sketch_a", "sketch_b") <= most_flipped(percent / 100 - MARGIN)
-    return pairs.join(a, "a").join(b, "b").filter(_possible(percent) & likely).select("a", "b")
 
+class _Texts:
+    """Shingles of compressed texts, the last few remembered."""
 
-def confirm(pairs: DataFrame, docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the threshold.
-
-    Each text meets its pairs in one join (adaptive execution splits a text of very many pairs), compressed first.
-    """
-
-    def squeeze(batches):
+    def __init__(self, words: int):
         import zstandard
 
-        zip_ = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([zip_.compress((x.as_py() or "").encode()) for x in b["text"]], pa.binary())], ["doc_id", "z"])
+        self.unzip, self.own, self.last = zstandard.ZstdDecompressor(), Shingler(words), {}
+
+    def shingles(self, z: bytes) -> np.ndarray:
+        if z not in self.last:
+            if len(self.last) >= 64:
+                self.last.clear()
+            self.last[z] = self.own.shingles(self.unzip.decompress(z).translate(_FOLD).split())
+        return self.last[z]
 
-    def run(batches):
-        import zstandard
 
-        unzip, own = zstandard.ZstdDecompressor(), Shingler(words)
-        last: dict[bytes, np.ndarray] = {}
+def confirm(pairs: DataFrame, classes: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets reach the threshold.
 
-        def shingles(z: bytes) -> np.ndarray:
-            if z not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[z] = own.shingles(unzip.decompress(z).translate(_FOLD).split())
-            return last[z]
+    Each text meets its pairs in one join (adaptive execution splits a text of very many pairs).
+    """
 
+    def run(batches):
+        texts = _Texts(words)
         for b in batches:
             keep = []
             for x, y in zip(b["za"], b["zb"]):
-                p, q = shingles(x.as_py()), shingles(y.as_py())
+                p, q = texts.shingles(x.as_py()), texts.shingles(y.as_py())
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(squeeze, 512), f"doc_id {kind}, z binary")
-    asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    met = asked.join(texts, "doc_id").groupBy("a", "b").agg(F.min(F.when(F.col("doc_id") == F.col("a"), F.col("z"))).alias("za"), F.min(F.when(F.col("doc_id") == F.col("b"), F.col("z"))).alias("zb"))
-    return met.mapInArrow(lean(run, 512), f"a {kind}, b {kind}")
+    asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    met = asked.join(classes.select("id", "z"), "id").groupBy("a", "b").agg(F.min(F.when(F.col("id") == F.col("a"), F.col("z"))).alias("za"), F.min(F.when(F.col("id") == F.col("b"), F.col("z"))).alias("zb"))
+    return met.mapInArrow(lean(run, 512), "a long, b long")
+
+
+def _links(pairs: DataFrame, classes: DataFrame, percent: int, words: int, sketched: bool = True) -> DataFrame:
+    """The links among ``pairs``, in the shared folder."""
+    near = materialize(_near(pairs, classes, percent, sketched), "pairs")
+    out = materialize(confirm(near, classes, percent=percent, words=words), "links")
+    release(near)
+    return out
+
+
+def _with_label(df: DataFrame, labels: DataFrame | None, of: str, name: str) -> DataFrame:
+    """``df`` with the component of ``of``: its own id where it has no link."""
+    if labels is None:
+        return df.withColumn(name, F.col(of))
+    at = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    return df.join(at, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_component", of)).drop("_node", "_component")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links, which join whole components: only one node of each takes part."""
+    if labels is None:
+        return components(links)
+    ends = _with_label(_with_label(links, labels, "a", "x"), labels, "b", "y").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    more = components(ends)
+    known = labels.unionByName(more.select("node", F.col("node").alias("component"))).dropDuplicates(["node"])
+    return materialize(_with_label(known, more, "component", "now").select("node", F.col("now").alias("component")), "labels")
+
+
+def size_classes(most: int) -> np.ndarray:
+    """The smallest size of each class, from 1 on."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * SIZE_STEP)))
+    return np.array(out)
+
+
+def prefixes(n: int, percent: int, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(own class, partner's class, length): a set of ``n`` shares one of its first so many shingles with any partner.
+
+    Two sets that overlap in k places share one of the first n - k + 1 of either, in any order common to both.
+    """
+    low, high, at = -(-percent * n // 100), 100 * n // percent, lambda x: int(np.searchsorted(starts, x, "right")) - 1
+    need = lambda c: -(-percent * (n + max(low, int(starts[c]))) // (100 + percent))
+    return [(at(n), c, n - need(c) + 1) for c in range(at(low), at(high) + 1)]
+
+
+def rare_pairs(members: DataFrame, classes: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of ``members`` (id, own) with different ``own`` that share a rare shingle as all links do.
+
+    The order of shingles is by counters of their hashes, the rarest first. Sizes go by classes, so that a pair meets
+    only in the first few shingles that its two sizes leave open: texts that are merely alike meet by what few of them
+    have, not by what all of them share.
+    """
+    spark = classes.sparkSession
+    texts = members.join(classes.select("id", "n_shingles", "z"), "id")
+
+    def count(batches):
+        own, out = _Texts(words), np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for z in b["z"]:
+                out += np.bincount((own.shingles(z.as_py()) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["at", "n"])
+
+    found = texts.select("z").mapInArrow(lean(count, 512), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[found["at"].to_numpy()] = found["n"].to_numpy()
+    held = spark.sparkContext.broadcast(counters)
+
+    def emit(batches):
+        own, starts, counts = _Texts(words), size_classes(1 << 40), held.value
+        for b in batches:
+            for i, label, z in zip(b["id"].to_pylist(), b["own"].to_pylist(), b["z"]):
+                sh = own.shingles(z.as_py())
+                sh = sh[np.lexsort((sh, counts[(sh % np.uint64(COUNTERS)).astype(np.int64)]))]
+                keys = np.concatenate([mix(sh[:k] + np.uint64(min(c, d) << 32 | max(c, d))) for c, d, k in prefixes(len(sh), percent, starts)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), label))], ["key", "id", "own"])
+
+    rows = materialize(texts.select("id", "own", "z").mapInArrow(lean(emit, 512), "key long, id long, own long"), "rare-shingles")
+    met = rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("key")
+    left = rows.join(met, "key")
+    a, b = (left.select("key", F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    out = materialize(a.join(b, "key").filter("a < b and own_a <> own_b").select("a", "b").distinct(), "rare-pairs")
+    release(rows)
+    return out
+
+
+def class_links(classes: DataFrame, *, percent: int = PERCENT, words: int = WORDS, leaders: int = LEADERS, first: DataFrame | None = None) -> DataFrame | None:
+    """(node, component) of all classes (id, n_shingles, bands, sketch, parity, z) with links; ``first``: links known before.
+
+    A round compares each bucket's members with its leader and takes the leader out; buckets whose other members are
+    in one component are done. After ``leaders`` rounds the members that are left meet by rare shingles.
+    """
+    banded = classes.select("id", F.explode("bands").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    left, labels = materialize(banded.join(sizes, "key"), "buckets"), None
+    for _ in range(leaders):
+        popular = left.groupBy("id").agg(F.sum("n").alias("popular"))
+        top = left.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", "id")).alias("top")).select("key", F.col("top.id").alias("leader"))
+        held = materialize(left.join(top, "key").filter("id <> leader").select("id", "key", "leader"), "led-buckets")
+        apart = _with_label(_with_label(held.select("leader", "id").distinct(), labels, "leader", "x"), labels, "id", "y").filter("x <> y")
+        links = _links(apart.select(F.col("leader").alias("a"), F.col("id").alias("b")), classes, percent, words)
+        if labels is None:
+            labels = components(links if first is None else links.unionByName(first))
+        else:
+            labels = _joined(labels, links)
+        owned = _with_label(held, labels, "id", "own")
+        open_ = owned.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
+        before, left = left, materialize(held.select("id", "key").join(open_, "key"), "buckets")
+        release(before, held, links)
+        if left.isEmpty():
+            release(left)
+            return labels
+    members = _with_label(left.select("id").distinct(), labels, "id", "own")
+    pairs = rare_pairs(members, classes, percent=percent, words=words)
+    links = _links(pairs, classes, percent, words, sketched=False)
+    labels = _joined(labels, links)
+    release(left, pairs, links)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
     Texts without words are linked with nothing, as are rows without an id (their component is null, and they are
-    kept). Rows that repeat an id count as one document if their texts are equal, and share its result. Equal texts
-    are one class and never paired. Other columns are ignored.
+    kept). Rows that share an id are one document with all their texts: its links are those of any of them. Equal
+    texts are one class and never paired. Other columns are ignored.
     """
-    signed = materialize(signatures(docs, words), "signatures")
+    signed = materialize(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     rows = signed.select("doc_id", "class", "n_shingles")
     own = signed.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
-    reps = own.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    first = own.join(reps.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")))
-    classes = materialize(first.select("rep", "class", "n_shingles", "bands", "sketch", "parity").dropDuplicates(["rep", "class"]), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(banded.join(leaders.drop("n"), "key"), "buckets")
-    pairs = shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(confirm(materialize(_near(pairs, classes, percent), "pairs"), docs, percent=percent, words=words), "star-links")
-    found = components(links)
-    # members of a bucket that still are apart: all others against the leader's component and each other
-    at = found.withColumnsRenamed({"node": "rep", "component": "own"})
-    placed = shared.join(at, "rep", "left").withColumn("own", F.coalesce("own", "rep"))
-    of_leader = found.withColumnsRenamed({"node": "leader", "component": "main"})
-    placed = materialize(placed.join(of_leader, "leader", "left").withColumn("main", F.coalesce("main", "leader")), "placed")
-    apart = placed.filter("own <> main")
-    keys = apart.select("key").distinct()
-    a, b = _sides(classes, "parity")
-    mixed = placed.filter("rep <> leader").join(keys, "key").select("key", F.col("rep").alias("a"), F.col("own").alias("own_a")).join(a, "a")
-    apart = apart.select("key", F.col("rep").alias("b"), F.col("own").alias("own_b")).join(b, "b")
-    # the bitmaps are part of the join's condition: pairs that cannot be links are never rows
-    rest = mixed.join(apart, "key").filter((F.col("a") != F.col("b")) & (F.col("own_a") != F.col("own_b")) & _possible(percent))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(_near(rest, classes, percent), "rest-pairs")
-    if not rest.isEmpty():
-        more = materialize(confirm(rest, docs, percent=percent, words=words), "more-links")
-        if not more.isEmpty():
-            found = components(links.unionByName(more))
-    final = classes.select("class", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("c"), F.coalesce("component", "rep").alias("component"))
+    reps = own.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("id"), F.col("x.doc_id").alias("rep"))
+    classes = materialize(own.join(reps, F.col("row") == F.col("id")).select("id", "rep", "class", "n_shingles", "bands", "sketch", "parity", "z"), "classes")
+    # texts of one document are linked; as a rule each has one
+    several = own.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("of"))
+    texts = own.join(several, F.col("doc_id") == F.col("of")).select("of", F.col("class").alias("c")).distinct()
+    texts = materialize(texts.join(classes.select("id", "class"), F.col("c") == F.col("class")).select("of", "id"), "texts-of-one")
+    stars = texts.join(texts.groupBy("of").agg(F.min("id").alias("a")), "of").filter("a <> id").select("a", F.col("id").alias("b"))
+    labels = class_links(classes, percent=percent, words=words, first=None if texts.isEmpty() else stars)
+    owned = _with_label(classes.select("id", "rep", "class"), labels, "id", "own")
+    least = owned.groupBy("own").agg(F.min("rep").alias("component"))
+    final = owned.join(least, "own").select(F.col("class").alias("c"), "component")
     out = rows.join(final, F.col("class") == F.col("c"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

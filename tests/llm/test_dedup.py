@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from prose import prose
+from prose import prose, words
 
 from motifstream.llm import contamination, neardup, suffixes, toxicity
 from motifstream.llm.components import components
@@ -67,6 +67,52 @@ def test_near_duplicates_with_odd_rows(frame):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 1, 3, 4, 5] and kept.columns == frame(rows).columns
 
 
+def variants(r, base, n, share):
+    """``n`` texts, each with about that share of the words of ``base`` changed to words of its own."""
+    for i in range(n):
+        yield " ".join(f"v{i}_{j}" if r.random() < share else w for j, w in enumerate(base))
+
+
+def test_texts_that_are_only_alike_and_copies_of_one(frame):
+    r = random.Random(11)
+    base, other = words(r, 160), words(r, 160)
+    rows = list(enumerate(variants(r, base, 150, 0.035)))  # alike at 0.75 or so, most not linked
+    rows += [(1000 + i, t) for i, t in enumerate(variants(r, other, 120, 0.02))] + [(5000, " ".join(other))]  # each near the last one
+    rows += [(2000 + i, " ".join(t.split(" ")[:-3])) for i, t in rows[:20]]
+    r.shuffle(rows)
+    want = plain_components(rows, 4)
+    assert len({c for _, c in want.values()}) > 20 and sum(c == 1000 for _, c in want.values()) > 100
+    for leaders in (1, 2):
+        d = frame(rows)
+        signed = neardup.signatures(d, 4).withColumnsRenamed({"doc_id": "id"})
+        labels = neardup.class_links(neardup.materialize(signed, "classes"), words=4, leaders=leaders)
+        got = {x["node"]: x["component"] for x in labels.collect()}
+        assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
+    assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(frame(rows), words=4).collect()} == {i: c for i, (_, c) in want.items()}
+
+
+def test_prefixes_meet_for_every_possible_overlap():
+    starts = neardup.size_classes(1 << 20)
+    for n in (1, 2, 3, 7, 40, 163, 2000):
+        mine = {(c, d): k for c, d, k in neardup.prefixes(n, 80, starts)}
+        for m in range(-(-80 * n // 100), 100 * n // 80 + 1):
+            theirs = {(d, c): k for c, d, k in neardup.prefixes(m, 80, starts)}
+            (pair,) = mine.keys() & theirs.keys() if len(mine.keys() & theirs.keys()) == 1 else [x for x in mine.keys() & theirs.keys() if starts[x[1]] <= m < starts[x[1] + 1]]
+            need = -(-80 * (n + m) // 180)
+            assert mine[pair] >= n - need + 1 and theirs[pair] >= m - need + 1
+
+
+def test_one_id_with_several_texts(frame):
+    r = random.Random(6)
+    a, b, c = (words(r, 60) for _ in range(3))
+    near = lambda x: " ".join([*x[:-1], "other"])
+    rows = [(4, " ".join(a)), (4, " ".join(b)), (6, near(a)), (9, near(b)), (8, near(c)), (2, " ".join(c)), (9, " ".join(c)), (11, " ".join(words(r, 60))), (11, None), (12, " ".join(a))]
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(frame(rows), words=4).collect())
+    assert got == sorted((i, 11 if i == 11 else 2, i in (2, 11)) for i, _ in rows)
+    lost = [(1, " ".join(a)), (1, " ".join(b)), (3, near(a))]
+    assert {x["component_id"] for x in neardup.near_duplicates(frame(lost), words=4).collect()} == {1}
+
+
 def test_odd_sketches_estimate_high_similarities():
     r = np.random.default_rng(1)
     for share in (0.95, 0.9, 0.8, 0.7):
