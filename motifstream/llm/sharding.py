@@ -53,10 +53,11 @@ def shuffle_shards(docs: DataFrame, *, n_shards: int = 24, seed: int = 20, bucke
     """
     buckets = scatter(docs, n_shards=n_shards, seed=seed, bucket_bytes=bucket_bytes)
     first = F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = buckets.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.size("records").cast("long").alias("n")).select("b", first.alias("first"))  # a row a bucket
+    # a row a bucket; written, so that Spark knows its size and sends it to the buckets as long as it is small
+    starts = materialize(buckets.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.size("records").cast("long").alias("n")).select("b", first.alias("first")), "bucket-starts")
     placed = buckets.join(starts, buckets["bucket"] == starts["b"]).select("shard", "bucket", "first", F.posexplode(F.shuffle("records", seed + 2)).alias("at", "record"))
     out = placed.select("shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), "bucket", "record")
-    out.staged = buckets.staged
+    out.uses = buckets, starts
     return out
 
 
@@ -70,7 +71,7 @@ def write_shards(docs: DataFrame, path: str, *, n_shards: int = 24, **options) -
     rows = shuffle_shards(docs, n_shards=n_shards, **options)
     out = rows.select("record.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
     out.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
-    release(rows)
+    release(*rows.uses)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.sparkSession.read.schema(f"{kinds}, `{slot}` long, `{shard}` int").parquet(path), shard, slot
 
