@@ -155,19 +155,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tup
     return slots
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None, bucket_rows: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None, bucket_rows: int = 1000) -> DataFrame:
     """Every piece of every document with its sequence and its offset there.
 
-    Pieces are written to the shared folder once; ranks within a length are counted in buckets of about
-    ``bucket_rows`` rows, dealt by the row's own number, so a length, key or text of a third of all rows is
-    spread. An empty text has the end id alone; null ids and repeated rows are packed like any other.
+    Pieces are written to the shared folder once; a length of more than ``bucket_rows`` pieces is ranked in buckets of
+    about so many, dealt by the row's own number, so a length, key or text of a third of all rows is spread. An empty text has the end id alone; null ids and repeated rows are packed like any other.
     """
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, capacity=capacity, vocabulary=vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.sparkContext.broadcast({k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in plan(counts, capacity).items()})
-    n = max(1, math.ceil(sum(counts.values()) / bucket_rows))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int"))
+    # lengths of many pieces are dealt into buckets; the table of these has at most ``capacity`` rows
+    shares = spark.createDataFrame([(k, math.ceil(n / bucket_rows)) for k, n in counts.items()], "l long, n_buckets int")
+    dealt = pieces.join(F.broadcast(shares), F.col("length") == F.col("l")).withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("n_buckets")).cast("int")).drop("l", "n_buckets")
     sums = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = dealt.withColumn("own", F.row_number().over(W.partitionBy("length", "bucket").orderBy("row"))).join(sums.withColumn("before", before).drop("n"), ["length", "bucket"])
