@@ -211,6 +211,26 @@ def test_bit_parallel_distance():
         assert contamination.myers(a, b)[0] == edits(a, b)
 
 
+def test_rolling_hashes_name_strings():
+    t = "abcab\u00e9\U0001f600cabcab\u00e9\U0001f600c" * 3
+    for width in (1, 2, 3, 5, 8, 21, 22):
+        h = contamination.rolling(contamination.letters_of(t), width).tolist()
+        parts = [t[i : i + width] for i in range(len(t) - width + 1)]
+        assert len(h) == len(parts) and len(set(zip(h, parts))) == len(set(h)) == len(set(parts))
+    assert len(contamination.rolling(contamination.letters_of("ab"), 3)) == 0
+
+
+def test_a_piece_that_a_long_text_repeats():
+    r = random.Random(4)
+    item = contamination.normal(prose(r, 60))
+    piece = item[: len(item) // (contamination.budget(item) + 1)]
+    text = " ".join([piece.strip()] * 3000)
+    changed = item[:150] + "q" + item[151:300] + item[301:]
+    matcher = contamination.Matcher([(1, item), (1, "x"), (2, prose(r, 60))])
+    assert len(matcher.starts(contamination.normal(text))[0]) >= 3000 and matcher.find(text) == {}
+    assert matcher.find(f"{text} {changed} {text}")[1][0] == edits(item, contamination.normal(f"{piece} {changed} {piece}")) <= 2
+
+
 def test_leaks(frame, spark):
     r = random.Random(9)
     items = [(k, prose(r, 25)) for k in range(12)] + [(50, None), (51, ""), (52, "?!"), (53, "short one")]
