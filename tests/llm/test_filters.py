@@ -126,6 +126,20 @@ def test_licences(frame):
     assert got[2]["labels"] == "cc-by,cc-by-nc" and got[9]["labels"] == "mit" and got[9]["score"] > 0.6 and got[5]["labels"] == "" and got[0]["score"] == 1
 
 
+def test_licence_spans_are_words_of_templates(frame):
+    whole = {i: text for i, (_, text) in enumerate(licenses.TEXTS)}
+    cut = whole[5].split()
+    rows = [(i, f"some words before {t} and after") for i, t in whole.items()] + [(100, " ".join(cut[: len(cut) // 2])), (101, " ".join(reversed(cut))), (102, " ".join(cut[:40] + ["added", "words"] + cut[40:]))]
+    spans = licenses.license_spans(licenses.license_hits(frame(rows))).collect()
+    for i, (label, text) in enumerate(licenses.TEMPLATES):
+        (own,) = [r for r in spans if r["doc_id"] == i and r["tpl"] == i]
+        n = len(text.split(" "))
+        assert (own["label"], own["first_word"], own["last_word"], own["covered"]) == (label, 3, 2 + n, 1)
+    assert not any(r["tpl"] == 5 for r in spans if r["doc_id"] in (100, 101)) and not any(r["doc_id"] == 101 for r in spans)
+    (added,) = [r for r in spans if r["doc_id"] == 102 and r["tpl"] == 5]
+    assert added["first_word"] == 0 and added["covered"] == 1
+
+
 def test_url_rules(spark):
     given = [(1, "http://A.Example.NET/en/x"), (2, "https://example.net/de/"), (3, "http://x.example.com/de/?a"), (4, "http://org/fr/"), (5, "http://aorg/fr/"), (6, "net"), (7, None), (8, "http://net"), (9, "ftp://h.net/#f"), (10, "http://h?x/y"), (1, "http://A.Example.NET/en/x")]
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(spark.createDataFrame([(*x, None) for x in given], "page_id long, url string, html string")).collect() if r["page_id"] not in (5, 6, 7, 8, 10))
