@@ -159,26 +159,42 @@ def write_bundles(pages: DataFrame, folder: str, *, frame_bytes: int = FRAME_BYT
 
 
 def read_bundles(index: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
-    """All records of the bundles that the index names, frame by frame."""
+    """The record of every row of ``index``, read at its frame and offset: each bundle is opened and each frame unpacked once.
+
+    What a bundle's rows name is at most what was written to it, some ``bundle_bytes``. A record that is not the one
+    its row names, or whose payload differs from its digest, is an error.
+    """
     to = int if kind in ("bigint", "int", "smallint", "tinyint") else str
 
     def run(batches):
         for b in batches:
-            for name, frame in zip(b["bundle"].to_pylist(), b["frame"].to_pylist()):
-                data, at, out = BundleReader(f"{folder}/{name}").frame(frame), 0, []
-                while at < len(data):
-                    head, payload, at = parse_record(data, at)
-                    page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
+            for name, places in zip(b["bundle"].to_pylist(), b["places"]):
+                reader, at, data, out = BundleReader(f"{folder}/{name}"), None, b"", []
+                for frame, offset, page in ((x["frame"], x["offset"], x["page_id"]) for x in places.as_py()):
+                    if frame != at:
+                        at, data = frame, reader.frame(frame)
+                    head, payload, _ = parse_record(data, offset)
+                    own, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
+                    if own != (None if page is None else str(page)):
+                        raise ValueError(f"{name}, frame {frame}, offset {offset}: page {own} instead of {page}")
                     if head["WARC-Type"] == "response" and f"sha1:{digest(payload)}" != head["WARC-Payload-Digest"]:
-                        raise ValueError(f"{name}, frame {frame}: a payload differs from its digest")
+                        raise ValueError(f"{name}, frame {frame}, offset {offset}: the payload differs from its digest")
                     size = len(payload) if refers is None else int(head["X-Payload-Length"])
-                    out.append((None if page is None else to(page), size, head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], None if refers is None else to(refers)))
+                    out.append((None if own is None else to(own), size, head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], None if refers is None else to(refers)))
                 cols, kinds = list(zip(*out)), [pa.int64() if to is int else pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if to is int else pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     own = "long" if to is int else "string"
-    frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("n")).select("bundle", "frame").repartition("bundle", "frame")
-    return frames.mapInArrow(run, f"page_id {own}, payload_bytes long, payload_digest string, record_type string, refers_to {own}")
+    bundles = index.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "page_id"))).alias("places"))
+    return bundles.mapInArrow(run, f"page_id {own}, payload_bytes long, payload_digest string, record_type string, refers_to {own}")
+
+
+def follow_revisits(records: DataFrame, index: DataFrame, folder: str) -> DataFrame:
+    """(page_id, refers_to, payload_digest) of the revisits among ``records``, with the digest of the response that each refers to, read from the bundles."""
+    asked = records.filter("record_type = 'revisit'").select("page_id", "refers_to")
+    wanted = index.join(asked.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
+    found = read_bundles(wanted, folder, index.schema["page_id"].dataType.simpleString()).filter("record_type = 'response'")
+    return asked.join(found.select(F.col("page_id").alias("refers_to"), "payload_digest").distinct(), "refers_to", "left").select("page_id", "refers_to", "payload_digest")
 
 
 def op8_seekable(spark, sf_dir):
