@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import ascii_lower, materialize
+from motifstream.llm.common import ascii_lower, materialize, release
 
 #: Fixed rules: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, FLOOR, RATIO = 0.85, 6, 1e-6, 1.0  # ROUNDS and FLOOR are of the SQL only
+DAMPING, RATIO = 0.85, 1.0
+SQL_ROUNDS = 40  # of the SQL, which cannot go on until scores settle
 SETTLED, LEAST = 1e-6, 1e-300  # relative change, and score, below which a score no longer counts as moving
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
@@ -67,13 +68,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, r
         if rounds is None:
             was = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
             moves = lambda new, old: F.abs(F.col(new) - F.coalesce(old, F.lit(0.0))) > SETTLED * F.col(new) + LEAST
-            if ranks.join(was, "host", "left").filter(moves("trust", "t") | moves("distrust", "d")).isEmpty():
-                break
+            settled = ranks.join(was, "host", "left").filter(moves("trust", "t") | moves("distrust", "d")).isEmpty()
+        if before is not seeds:
+            release(before)
+        if rounds is None and settled:
+            break
     return ranks
 
 
 def judge_urls(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, rounds: int | None = None, floor: float = 0.0, ratio: float = RATIO) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust for every page.
+    """page_id, host, path, rule and verdict for every page.
 
     Hosts of pages that a rule allows are the trusted seeds, hosts of pages that a rule blocks the distrusted
     ones. Where no rule fits, a host is blocked if its distrust is above ``floor`` and above ``ratio`` times its
@@ -103,7 +107,7 @@ def _sql() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(k, h, p)}'" for k, h, p in ordered) + " END"
     rounds, last = [], "seeds"
-    for i in range(ROUNDS):
+    for i in range(SQL_ROUNDS):
         rounds.append(f"""r{i} AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
             SELECT f.b AS host, {DAMPING} * f.pt * r.trust AS trust, {DAMPING} * f.pd * r.distrust AS distrust FROM flow f JOIN {last} r ON r.host = f.a
             UNION ALL SELECT host, (1 - {DAMPING}) * trust, (1 - {DAMPING}) * distrust FROM seeds) GROUP BY host)""")
@@ -120,7 +124,7 @@ def _sql() -> str:
         per_host AS (SELECT host, max((by_rule = 'allow')::INT) AS good, max((by_rule = 'block')::INT) AS bad FROM ruled WHERE by_rule IS NOT NULL GROUP BY host),
         seeds AS (SELECT host, (good / greatest(1, sum(good) OVER ()))::DOUBLE AS trust, (bad / greatest(1, sum(bad) OVER ()))::DOUBLE AS distrust FROM per_host),
         {", ".join(rounds)}
-        SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > {FLOOR} AND coalesce(distrust, 0) > {RATIO} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+        SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > 0 AND coalesce(distrust, 0) > {RATIO} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
         FROM ruled LEFT JOIN {last} USING (host)"""
 
 
