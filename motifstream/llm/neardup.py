@@ -28,7 +28,7 @@ PERCENT = 80
 QUERY_WORDS = 4  # what the query op4 asks for
 MARGIN = 0.25  # of the sketch's estimate below the threshold: seven deviations of 128 samples
 CACHE = 500_000
-LEADERS = 2  # of a bucket, before rare shingles
+LEADERS = 1  # of a bucket, before rare shingles
 COUNTERS = 1 << 18  # of shingles: their order is by these, so the numbers that go to the driver have a fixed size
 SIZE_STEP = 1.05  # from one class of set sizes to the next
 _RNG = np.random.default_rng(4)
@@ -144,15 +144,17 @@ def _flipped(x: str, y: str) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)])
 
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int, sketched: bool = True) -> DataFrame:
-    """Pairs whose bitmaps do not rule out the threshold: sizes too different, too many shingles in one set only, or (if
-    ``sketched``) a similarity that the odd sketches put far too low."""
-    a, b = (classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+def _possible(percent: int) -> Column:
+    """False only for pairs that cannot reach the threshold: sizes too different, or too many shingles in one set only."""
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    possible = sized & (_flipped("parity_a", "parity_b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-    if sketched:
-        possible = possible & (_flipped("sketch_a", "sketch_b") <= most_flipped(percent / 100 - MARGIN))
-    return pairs.join(a, "a").join(b, "b").filter(possible).select("a", "b")
+    return sized & (_flipped("parity_a", "parity_b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that are possible and whose similarity the odd sketches do not put far too low."""
+    a, b = (classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    likely = _flipped("sketch_a", "sketch_b") <= most_flipped(percent / 100 - MARGIN)
+    return pairs.join(a, "a").join(b, "b").filter(_possible(percent) & likely).select("a", "b")
 
 
 class _Texts:
@@ -192,14 +194,6 @@ def confirm(pairs: DataFrame, classes: DataFrame, *, percent: int = PERCENT, wor
     return met.mapInArrow(lean(run, 512), "a long, b long")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, percent: int, words: int, sketched: bool = True) -> DataFrame:
-    """The links among ``pairs``, in the shared folder."""
-    near = materialize(_near(pairs, classes, percent, sketched), "pairs")
-    out = materialize(confirm(near, classes, percent=percent, words=words), "links")
-    release(near)
-    return out
-
-
 def _with_label(df: DataFrame, labels: DataFrame | None, of: str, name: str) -> DataFrame:
     """``df`` with the component of ``of``: its own id where it has no link."""
     if labels is None:
@@ -237,7 +231,7 @@ def prefixes(n: int, percent: int, starts: np.ndarray) -> list[tuple[int, int, i
 
 
 def rare_pairs(members: DataFrame, classes: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """Pairs (a, b) of ``members`` (id, own) with different ``own`` that share a rare shingle as all links do.
+    """Pairs (a, b) of ``members`` (id, own) with different ``own`` that are possible and share a rare shingle as all links do.
 
     The order of shingles is by counters of their hashes, the rarest first. Sizes go by classes, so that a pair meets
     only in the first few shingles that its two sizes leave open: texts that are merely alike meet by what few of them
@@ -265,14 +259,18 @@ def rare_pairs(members: DataFrame, classes: DataFrame, *, percent: int = PERCENT
             for i, label, z in zip(b["id"].to_pylist(), b["own"].to_pylist(), b["z"]):
                 sh = own.shingles(z.as_py())
                 sh = sh[np.lexsort((sh, counts[(sh % np.uint64(COUNTERS)).astype(np.int64)]))]
-                keys = np.concatenate([mix(sh[:k] + np.uint64(min(c, d) << 32 | max(c, d))) for c, d, k in prefixes(len(sh), percent, starts)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), label))], ["key", "id", "own"])
+                found = prefixes(len(sh), percent, starts)
+                keys = np.concatenate([mix(sh[:k] + np.uint64(min(c, d) << 32 | max(c, d))) for c, d, k in found]).view(np.int64)
+                at = np.concatenate([np.arange(k, dtype=np.int32) for *_, k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), label))], ["key", "at", "id", "own"])
 
-    rows = materialize(texts.select("id", "own", "z").mapInArrow(lean(emit, 512), "key long, id long, own long"), "rare-shingles")
+    rows = materialize(texts.select("id", "own", "z").mapInArrow(lean(emit, 512), "key long, at int, id long, own long"), "rare-shingles")
     met = rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("key")
-    left = rows.join(met, "key")
-    a, b = (left.select("key", F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-    out = materialize(a.join(b, "key").filter("a < b and own_a <> own_b").select("a", "b").distinct(), "rare-pairs")
+    left = rows.join(met, "key").join(classes.select("id", "n_shingles", "parity"), "id")
+    a, b = (left.select("key", F.col("id").alias(x), F.col("own").alias(f"own_{x}"), (F.col("n_shingles") - F.col("at")).alias(f"rest_{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    # of the shingles that a pair shares the first has enough of either set after it
+    room = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    out = materialize(a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & room & _possible(percent)).select("a", "b").distinct(), "rare-pairs")
     release(rows)
     return out
 
@@ -291,7 +289,8 @@ def class_links(classes: DataFrame, *, percent: int = PERCENT, words: int = WORD
         top = left.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", "id")).alias("top")).select("key", F.col("top.id").alias("leader"))
         held = materialize(left.join(top, "key").filter("id <> leader").select("id", "key", "leader"), "led-buckets")
         apart = _with_label(_with_label(held.select("leader", "id").distinct(), labels, "leader", "x"), labels, "id", "y").filter("x <> y")
-        links = _links(apart.select(F.col("leader").alias("a"), F.col("id").alias("b")), classes, percent, words)
+        near = materialize(_near(apart.select(F.col("leader").alias("a"), F.col("id").alias("b")), classes, percent), "pairs")
+        links = materialize(confirm(near, classes, percent=percent, words=words), "links")
         if labels is None:
             labels = components(links if first is None else links.unionByName(first))
         else:
@@ -299,13 +298,13 @@ def class_links(classes: DataFrame, *, percent: int = PERCENT, words: int = WORD
         owned = _with_label(held, labels, "id", "own")
         open_ = owned.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
         before, left = left, materialize(held.select("id", "key").join(open_, "key"), "buckets")
-        release(before, held, links)
+        release(before, held, near, links)
         if left.isEmpty():
             release(left)
             return labels
     members = _with_label(left.select("id").distinct(), labels, "id", "own")
     pairs = rare_pairs(members, classes, percent=percent, words=words)
-    links = _links(pairs, classes, percent, words, sketched=False)
+    links = materialize(confirm(pairs, classes, percent=percent, words=words), "links")
     labels = _joined(labels, links)
     release(left, pairs, links)
     return labels
