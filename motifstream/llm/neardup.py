@@ -150,11 +150,11 @@ def _possible(percent: int) -> Column:
     return sized & (_flipped("parity_a", "parity_b") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that are possible and whose similarity the odd sketches do not put far too low."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int, sketched: bool = True) -> DataFrame:
+    """Pairs that are possible and (if ``sketched``) whose similarity the odd sketches do not put far too low."""
     a, b = (classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
     likely = _flipped("sketch_a", "sketch_b") <= most_flipped(percent / 100 - MARGIN)
-    return pairs.join(a, "a").join(b, "b").filter(_possible(percent) & likely).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(_possible(percent) & likely if sketched else _possible(percent)).select("a", "b")
 
 
 class _Texts:
@@ -261,17 +261,17 @@ def rare_pairs(members: DataFrame, classes: DataFrame, *, percent: int = PERCENT
                 sh = sh[np.lexsort((sh, counts[(sh % np.uint64(COUNTERS)).astype(np.int64)]))]
                 found = prefixes(len(sh), percent, starts)
                 keys = np.concatenate([mix(sh[:k] + np.uint64(min(c, d) << 32 | max(c, d))) for c, d, k in found]).view(np.int64)
-                at = np.concatenate([np.arange(k, dtype=np.int32) for *_, k in found])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), pa.array(np.full(len(keys), i)), pa.array(np.full(len(keys), label))], ["key", "at", "id", "own"])
+                left = np.concatenate([len(sh) - np.arange(k) for *_, k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x)) for x in (i, label, len(sh))), pa.array(left)], ["key", "id", "own", "n", "left"])
 
-    rows = materialize(texts.select("id", "own", "z").mapInArrow(lean(emit, 512), "key long, at int, id long, own long"), "rare-shingles")
+    rows = materialize(texts.select("id", "own", "z").mapInArrow(lean(emit, 512), "key long, id long, own long, n long, left long"), "rare-shingles")
     met = rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("key")
-    left = rows.join(met, "key").join(classes.select("id", "n_shingles", "parity"), "id")
-    a, b = (left.select("key", F.col("id").alias(x), F.col("own").alias(f"own_{x}"), (F.col("n_shingles") - F.col("at")).alias(f"rest_{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    a, b = (rows.join(met, "key").select("key", F.col("id").alias(x), F.col("own").alias(f"own_{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
     # of the shingles that a pair shares the first has enough of either set after it
-    room = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    out = materialize(a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & room & _possible(percent)).select("a", "b").distinct(), "rare-pairs")
-    release(rows)
+    room = F.least("left_a", "left_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    met = materialize(a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & room).select("a", "b").distinct(), "met")
+    out = materialize(_near(met, classes, percent, sketched=False), "rare-pairs")
+    release(rows, met)
     return out
 
 
