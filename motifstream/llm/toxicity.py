@@ -1,12 +1,15 @@
 """Toxicity from a learned lexicon, matched with misspellings.
 
 A trie of abusive terms is learned from labelled texts. Its intersection with a Levenshtein automaton is
-determinised while tokens run through it, so a token costs a few table look-ups. Hits are split by their
-context window into quoted and direct ones, and a logistic model turns both into a score.
+determinised while tokens run through it, so a token costs a few table look-ups. Tokens with digits or symbols
+between their letters are masked words and are matched as a whole. Hits are split by their context window into quoted
+and direct ones, by quotation marks, by words that report and by words learned to stand near the hits of clean
+texts; a logistic model turns both into a score.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -20,14 +23,19 @@ from pyspark.sql import functions as F
 
 from motifstream.llm.common import documents, lean
 
-MAX_TRAIN = 5_000  # labelled rows that the model is fitted on, those with the smallest hashes
+MAX_TRAIN, MAX_TRAIN_BYTES = 5_000, 32 << 20  # labelled texts that the model is fitted on, and bytes of them: those with the smallest hashes
 PRECISION, CHANCE, LEAST = 0.95, 0.01, 4
 PREFIXES = range(4, 9)
-FUZZY_FROM = 5  # letters that a term needs before one edit is allowed
+FUZZY_FROM = (5, 10)  # letters that a term needs before one edit, or two, are allowed
+DOUBTFUL = 0.5  # precision of the terms whose windows teach what reports
 BEFORE, AFTER = 6, 3  # words of the context window
 THRESHOLD = 0.3
 CACHE = 400_000
 _TOKEN = re.compile(r"[^\W\d_]+")
+_MASK = re.compile(r"[0-9@$*!|](?=[^\W\d_])")
+_MASKED = re.compile(r"[0-9@$*!|]{0,2}[^\W\d_]+(?:[0-9@$*!|]{1,3}[^\W\d_]+)*")
+#: Letters that digits and symbols stand for.
+STANDS_FOR = str.maketrans("0134578@$!|", "oieastbasil")
 #: Quotation marks, and words that report what somebody else said.
 QUOTES = re.compile("[\"“”„«»‹›]")
 REPORTS = frozenset("said says called quote quoted quoting wrote writes reported word term insult slur sagte schrieb nannte zitat zitiert dit appelle cite citation dijo llamado cita palabra".split())
@@ -46,6 +54,7 @@ class Lexicon:
     """Terms as (letters, is a prefix, edits allowed), and the lazily determinised automaton over their trie."""
 
     terms: list[tuple[str, bool, int]]
+    cues: frozenset = frozenset()  # words that report, besides the fixed ones
     known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self):
@@ -64,6 +73,7 @@ class Lexicon:
             ends = self.open if prefix else self.whole
             ends[node] = max(ends[node], edits)
         self.most = max([0, *(x[2] for x in self.terms)])
+        self.loose: Lexicon | None = None  # with an edit at least for each term: for masked words
         self.names: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -108,6 +118,12 @@ class Lexicon:
             got = self.known[token] = self._walk(token)
         return got
 
+    def match_masked(self, token: str) -> int:
+        """Fewest edits from a term of a word with digits or symbols among its letters, -1 if none is near enough."""
+        if self.loose is None:
+            self.loose = Lexicon([(t, prefix, max(1, edits)) for t, prefix, edits in self.terms])
+        return max(self.loose.match(token.translate(STANDS_FOR)), self.loose.match(token))
+
     def _walk(self, token: str) -> int:
         state, best, steps = self.start, -1, self.steps
         for c in token:
@@ -122,14 +138,15 @@ class Lexicon:
         return end if best < 0 else best if end < 0 else min(best, end)
 
 
-def quotation(text: str, words: list[str]) -> Callable[[int], bool]:
+def quotation(text: str, words: list[str], cues: frozenset = frozenset()) -> Callable[[int], bool]:
     """Whether the word at a place of ``words``, the tokens of ``text``, is quoted or reported there."""
     marks = bool(QUOTES.search(text))
     low = text.lower() if marks else ""
     spans: list[tuple[int, int]] = []
 
     def reported(i: int) -> bool:
-        if not REPORTS.isdisjoint(words[max(0, i - BEFORE) : i + AFTER + 1]):
+        window = words[max(0, i - BEFORE) : i + AFTER + 1]
+        if not REPORTS.isdisjoint(window) or not cues.isdisjoint(window):
             return True
         if not marks:
             return False
@@ -143,14 +160,29 @@ def quotation(text: str, words: list[str]) -> Callable[[int], bool]:
     return reported
 
 
+def masked_hits(text: str, known: set[int], lexicon: Lexicon) -> list[tuple[int, int]]:
+    """(place of the first token, 1 or more) of masked words near a term, but those with a token in ``known``."""
+    low = text.lower()
+    if not lexicon.terms or not _MASK.search(low):
+        return []
+    out, starts = [], [x.start() for x in _TOKEN.finditer(low)]
+    for x in _MASKED.finditer(low):
+        if not x[0].isalpha() and (m := lexicon.match_masked(x[0])) >= 0:
+            first, last = bisect.bisect_left(starts, x.start()), bisect.bisect_left(starts, x.end())
+            if known.isdisjoint(range(first, last)):
+                out.append((first, max(1, m)))
+    return out
+
+
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
     """1, then logarithms of direct exact, direct misspelled and quoted hits, and direct hits to the root of the words."""
     words = tokens(text)
     match = lexicon.match
     hits = [(i, m) for i, m in enumerate(map(match, words)) if m >= 0]
+    hits += masked_hits(text or "", {i for i, _ in hits}, lexicon)
     exact = fuzzy = quoted = 0
     if hits:
-        is_reported = quotation(text, words)
+        is_reported = quotation(text, words, lexicon.cues)
         for i, m in hits:
             reported = is_reported(i)
             quoted += reported
@@ -159,32 +191,49 @@ def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
     return 1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), (exact + fuzzy) / math.sqrt(len(words) or 1)
 
 
-def direct_words(text: str | None) -> set[str]:
+def direct_words(text: str | None, cues: frozenset = frozenset()) -> set[str]:
     """The words, of letters enough for a term, that are at least once neither quoted nor reported."""
     words, out = tokens(text), set()
-    reported = quotation(text or "", words)
+    reported = quotation(text or "", words, cues)
     for i, x in enumerate(words):
         if len(x) >= PREFIXES[0] and x not in out and not reported(i):
             out.add(x)
     return out
 
 
-def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
-    """Words and word beginnings that mark toxic texts too well for chance, with an edit each where that stays precise.
+def _parts(words) -> set[str]:
+    """Words and, with a star, their beginnings."""
+    return set(words) | {f"{x[:n]}*" for x in words for n in PREFIXES if len(x) >= n}
+
+
+def _beyond_chance(found: int, rate: float) -> int:
+    """How often something must be seen in texts of a kind before chance is ruled out, of ``found`` things that were."""
+    return max(LEAST, math.ceil(math.log(CHANCE / max(1, found)) / math.log(rate)))
+
 
-    A text counts for a word only by direct occurrences: to quote or report it says nothing about the word.
+def learn_terms(texts: list[str], toxic: list[int], bags: list[frozenset], precision: float, cues: frozenset = frozenset()) -> Lexicon:
+    """Words and word beginnings that mark toxic texts too well for chance, with edits each where these stay precise.
+
+    ``bags`` are the direct words of each text: to quote or report a word says nothing about it. A word's toxic
+    occurrences must have as many different neighbours, so that copies of one text do not make its words terms.
     """
-    same: dict[str, str] = {}  # one string for each word: the driver's memory is small
-    bags = [frozenset(same.setdefault(x, x) for x in direct_words(t)) for t in texts]
+    same = frozenset().union(*bags)
     rate = max(1e-6, sum(toxic) / max(1, len(toxic)))
-    parts = lambda bag: bag | {f"{x[:n]}*" for x in bag for n in PREFIXES if len(x) >= n}
-    bad = Counter(x for bag, y in zip(bags, toxic) if y for x in parts(bag))
+    bad = Counter(x for bag, y in zip(bags, toxic) if y for x in _parts(bag))
     if not bad or rate == 1:
-        return Lexicon([])
-    least = max(LEAST, math.ceil(math.log(CHANCE / len(bad)) / math.log(rate)))
+        return Lexicon([], cues)
+    least = _beyond_chance(len(bad), rate)
     bad = Counter({x: n for x, n in bad.items() if n >= least})
-    good = Counter(x for bag, y in zip(bags, toxic) if not y for x in parts(bag) & bad.keys())
-    sure = {x for x, n in bad.items() if n >= PRECISION * (n + good[x])}
+    good = Counter(x for bag, y in zip(bags, toxic) if not y for x in _parts(bag) & bad.keys())
+    sure = {x for x, n in bad.items() if n >= precision * (n + good[x])}
+    near: dict[str, set] = {x: set() for x in sure}
+    for text, bag, y in zip(texts, bags, toxic):
+        if y and not sure.isdisjoint(_parts(bag)):
+            words = tokens(text)
+            for before, x, after in zip(["", *words], words, [*words[1:], ""]):
+                for part in (_parts([x]) & sure) if x in bag else ():
+                    near[part].add((before, after))
+    sure = {x for x in sure if len(near[x]) >= least}
     terms: list[tuple[str, bool]] = []
     for x in sorted(sure, key=lambda x: (len(x.rstrip("*")), not x.endswith("*"))):
         word = x.rstrip("*")
@@ -198,15 +247,47 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
     out = []
     for word, prefix in dict.fromkeys(terms):
         edits = 0
-        if len(word) >= FUZZY_FROM:
-            near, fuzzy = Lexicon([(word, prefix, 1)]), [0, 0]
-            close = frozenset(x for x in same if near._walk(x) == 1)
+        for most in range(1, 1 + sum(len(word) >= n for n in FUZZY_FROM)):
+            # with so many edits in a word, one of as many pieces and one more is unchanged
+            cuts = [len(word) * i // (most + 1) for i in range(most + 2)]
+            pieces = [word[a:z] for a, z in zip(cuts, cuts[1:])]
+            alone, fuzzy = Lexicon([(word, prefix, most)]), [0, 0]
+            close = frozenset(x for x in same if any(p in x for p in pieces) and alone._walk(x) > 0)
             for bag, y in zip(bags, toxic) if close else ():
                 if not close.isdisjoint(bag):
                     fuzzy[bool(y)] += 1
-            edits = int(fuzzy[1] >= PRECISION * sum(fuzzy))
+            if fuzzy[1] < precision * sum(fuzzy):
+                break
+            edits = most
         out.append((word, prefix, edits))
-    return Lexicon(out)
+    return Lexicon(out, cues)
+
+
+def learn_cues(texts: list[str], toxic: list[int], lexicon: Lexicon) -> frozenset:
+    """Words that stand in the windows of a term's hits in clean texts too often for chance, and hardly in toxic ones."""
+    clean, all_, hit = Counter(), Counter(), [0, 0]
+    for text, y in zip(texts, toxic):
+        words = tokens(text)
+        at = [i for i, x in enumerate(words) if lexicon.match(x) == 0]
+        window = {x for i in at for x in (*words[max(0, i - BEFORE) : i], *words[i + 1 : i + AFTER + 1])}
+        if at:
+            hit[bool(y)] += 1
+            all_.update(window)
+            clean.update(() if y else window)
+    rate = hit[0] / max(1, sum(hit))
+    if not 0 < rate < 1:
+        return frozenset()
+    least = _beyond_chance(len(clean), rate)
+    return frozenset(x for x, n in clean.items() if n >= least and n >= PRECISION * all_[x])
+
+
+def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
+    """Terms, and the words that report them: those are learned first, around terms that clean texts hold as well."""
+    same: dict[str, str] = {}  # one string for each word: the driver's memory is small
+    bags_of = lambda cues: [frozenset(same.setdefault(x, x) for x in direct_words(t, cues)) for t in texts]
+    bags = bags_of(frozenset())
+    cues = learn_cues(texts, toxic, learn_terms(texts, toxic, bags, DOUBTFUL))
+    return learn_terms(texts, toxic, bags_of(cues) if cues else bags, PRECISION, cues)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -220,26 +301,36 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and weights from at most ``max_train`` labelled texts outside the held-out quarter.
+def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and weights from labelled texts outside the held-out quarter: at most ``max_train``, and at most ``max_bytes`` of them.
 
-    The sample is the labelled rows with the smallest hash of their id. Of texts with the same words and label one counts.
+    The sample is the labelled texts with the smallest hash of their id, whole ones. Of texts with the same words and
+    label one counts, whatever else begins alike.
     """
     own = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(own, "doc_id").select("text", "toxic").toPandas()
-    rows = rows.assign(words=[hash(" ".join(tokens(t))) for t in rows["text"]]).sort_values(["text", "toxic"]).drop_duplicates(["words", "toxic"])
-    texts, toxic = rows["text"].tolist(), [int(x > 0) for x in rows["toxic"]]
+    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    named = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    sizes = named.select("doc_id", "th", F.octet_length("text").alias("size")).join(own, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(max_train).collect()
+    chosen, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= max_bytes:
+            chosen.append((r["doc_id"], r["th"], int(r["toxic"] > 0)))
+            total += r["size"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = docs.sparkSession.createDataFrame(chosen, f"doc_id {kind}, th long, toxic int")  # at most max_train rows
+    rows = named.join(F.broadcast(sample), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").toPandas()
+    rows = rows.assign(words=[" ".join(tokens(t)) for t in rows["text"]]).sort_values(["text", "toxic"]).drop_duplicates(["words", "toxic"])
+    texts, toxic = rows["text"].tolist(), rows["toxic"].tolist()
     lexicon = learn_lexicon(texts, toxic)
     if not texts:
         return lexicon, np.array([-4.0, 0, 0, 0, 0])
-    return Lexicon(lexicon.terms), fit_logistic(np.array([features(t, lexicon) for t in texts]), np.array(toxic, float))
+    return Lexicon(lexicon.terms, lexicon.cues), fit_logistic(np.array([features(t, lexicon) for t in texts]), np.array(toxic, float))
 
 
-def _scores(texts, model: tuple[list, np.ndarray], cache: dict) -> np.ndarray:
+def _scores(texts, model: tuple[list, frozenset, np.ndarray], cache: dict) -> np.ndarray:
     if "lexicon" not in cache:
-        cache["lexicon"] = Lexicon(model[0])
-    z = np.array([features(t.as_py(), cache["lexicon"]) for t in texts]).reshape(len(texts), 5) @ model[1]
+        cache["lexicon"] = Lexicon(*model[:2])
+    z = np.array([features(t.as_py(), cache["lexicon"]) for t in texts]).reshape(len(texts), 5) @ model[2]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -250,7 +341,7 @@ def score(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, thr
     are scored alike; without labels the score is a small constant; other columns are ignored.
     """
     lexicon, weights = fit(docs, labels, max_train=max_train)
-    model = lexicon.terms, weights
+    model = lexicon.terms, lexicon.cues, weights
 
     def run(batches):
         cache: dict = {}
@@ -265,7 +356,7 @@ def score(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, thr
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that reach the threshold, all columns as they were."""
     lexicon, weights = fit(docs, labels, max_train=max_train)
-    model = lexicon.terms, weights
+    model = lexicon.terms, lexicon.cues, weights
 
     def run(batches):
         cache: dict = {}

@@ -344,6 +344,88 @@ def test_terms_that_clean_texts_quote_are_learned():
     assert ((scores >= toxicity.THRESHOLD) == np.array(toxic)).all()
 
 
+def test_masked_words_are_hits():
+    lexicon = toxicity.Lexicon([("idiot", False, 1), ("scum", False, 0), ("trash", True, 1), ("disgusting", False, 2)])
+    hits = lambda t: toxicity.features(t, lexicon)[1:3]
+    one = toxicity.math.log1p(1)
+    for word in ("id1ot", "1diot", "idi0t", "i*iot", "sc*m", "$cum", "tr@sher", "d1sgust1ng", "idioot"):
+        assert hits(f"you are {word} and more") == (0, one), word
+    for word in ("disgsting", "disgusitng", "dizguzting"):
+        assert hits(word) == (0, one)
+    for word in ("b2b", "h264", "mp3s", "a1b2c3d4", "100", "x*y*z", "***", "at$ 5", "stuff#and"):
+        assert hits(f"some {word} here") == (0, 0), word
+    assert hits("you idiot!you") == (one, 0) and hits('he said "id1ot" today') == (0, 0)
+
+
+def test_copies_of_one_text_make_no_terms():
+    r = random.Random(8)
+    copied = prose(r, 40)
+    texts = [prose(r, 40) for _ in range(500)] + [f"{copied} {prose(r, 3)}" for _ in range(30)]
+    toxic = [int(i % 6 == 0) for i in range(500)] + [1] * 30
+    for i in range(0, 500, 6):
+        t = texts[i].split(" ")
+        t[r.randrange(len(t))] = r.choice(["moronic", "vermin"])
+        texts[i] = " ".join(t)
+    lexicon = toxicity.learn_lexicon(texts, toxic)
+    assert {lexicon.match(x) for x in ("moronic", "vermin")} == {0} and not any(lexicon.match(x) >= 0 for x in toxicity.tokens(copied))
+
+
+def test_words_that_report_are_learned():
+    r = random.Random(12)
+    texts, toxic = [], []
+    for i in range(900):
+        t, kind = prose(r, 40).split(" "), i % 3
+        at = r.randrange(2, len(t) - 3)
+        if kind:
+            w = r.choice(["moronic", "vermin", "imbecile"])
+            t[at : at + 1] = ["glossary", "entry", w] if kind == 1 else [w]
+        texts.append(" ".join(t))
+        toxic.append(int(kind == 2))
+    lexicon = toxicity.learn_lexicon(texts, toxic)
+    assert {"glossary", "entry"} <= lexicon.cues and len(lexicon.cues) < 10
+    assert all(lexicon.match(x) == 0 for x in ("moronic", "vermin", "imbecile"))
+    assert toxicity.features("see the glossary entry vermin for more", lexicon)[1:4] == (0, 0, toxicity.math.log1p(1))
+
+
+def test_training_texts_are_bounded_by_bytes(toxic):
+    docs, labels = toxic
+    lexicon, _ = toxicity.fit(docs, labels, max_bytes=1000)
+    assert lexicon.terms == []
+    few, _ = toxicity.fit(docs.unionByName(docs), labels)
+    assert few.terms == toxicity.fit(docs, labels)[0].terms
+
+
+def plain_scores(rows, labels, lexicon, weights):
+    """The scores of a model, each token held to each term by the plain table of edits."""
+    def near(token, term, prefix, most):
+        d = [list(range(len(token) + 1))]
+        for i, x in enumerate(term, 1):
+            d.append([i])
+            for j, y in enumerate(token, 1):
+                d[i].append(min(d[i - 1][j - 1] + (x != y), d[i - 1][j] + 1, d[i][-1] + 1))
+        e = min(d[-1]) if prefix else d[-1][-1]
+        return e if e <= most else 99
+
+    out = {}
+    for i, text in rows:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        found = [min((near(w, *t) for t in lexicon.terms), default=99) for w in words]
+        direct = [e for k, e in enumerate(found) if e < 99 and not ({*toxicity.REPORTS, *lexicon.cues} & set(words[max(0, k - 6) : k + 4]))]
+        quoted = sum(e < 99 for e in found) - len(direct)
+        x = (1, np.log1p(direct.count(0)), np.log1p(len(direct) - direct.count(0)), np.log1p(quoted), len(direct) / np.sqrt(len(words) or 1))
+        out[i] = 1 / (1 + np.exp(-np.dot(x, weights)))
+    return out
+
+
+def test_scores_are_those_of_a_plain_version(toxic):
+    docs, labels = toxic
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect() if x["doc_id"] < 200]
+    want = plain_scores(rows, labels, *toxicity.fit(docs, labels))
+    got = {x["doc_id"]: x for x in toxicity.score(docs, labels).collect()}
+    for i, s in want.items():
+        assert abs(got[i]["score"] - s) < 1e-9 and got[i]["predicted"] == (s >= 0.3)
+
+
 def test_texts_that_begin_alike_are_all_learned_from(toxic, spark):
     docs, labels = toxic
     same = docs.select("doc_id", toxicity.F.concat(toxicity.F.lit("home about contact " * 8), "text").alias("text"))
