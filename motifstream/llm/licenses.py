@@ -93,8 +93,10 @@ def license_hits(docs: DataFrame, *, templates=TEMPLATES, k: int = K) -> DataFra
     which = lambda i: reduce(lambda a, b: a.when(here(i, b[1]), b[0]), starts[1:], F.when(here(i, starts[0][1]), starts[0][0]))
     places = F.when(F.col("maybe") & (F.size(w) >= 2), F.filter(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(i.alias("at"), which(i).alias("label"))), lambda x: x["label"].isNotNull()))
     own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("gram")))
-    rows = base.select("doc_id", "th", "words", places.alias("places"), F.explode(F.concat(own, _grams(w, k))).alias("g"))
-    rows = rows.select("doc_id", "th", "words", "places", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
+    # grams are a column before they are exploded, so that compiled code passes words on without a copy for each gram;
+    # none of the arrays is empty, but explode() would have Spark filter on their size first, with all of them made anew
+    rows = base.select("doc_id", "th", "words", places.alias("places"), F.concat(own, _grams(w, k)).alias("grams"))
+    rows = rows.select("doc_id", "th", "words", "places", F.explode_outer("grams").alias("g")).select("doc_id", "th", "words", "places", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
     met = rows.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), F.col("gram") == F.col("gram_t"), "left")
     met = met.filter((F.col("pos") < 0) | (F.slice("words", F.col("pos") + 1, F.lit(k)) == F.col("own")))
     first = lambda c: F.when(F.col("pos") < 0, c)
