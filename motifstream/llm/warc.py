@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.llm.common import materialize, new_path
+from motifstream.llm.common import lean, materialize, new_path
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, struct.Struct("<II"), struct.Struct("<IBI")
@@ -116,6 +116,9 @@ class BundleReader:
         small, large = self.sizes[i]
         return zstandard.ZstdDecompressor().decompress(self.file.read_at(small, self.starts[i]), max_output_size=max(1, large))
 
+    def close(self) -> None:
+        self.file.close()
+
     def record(self, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
         return parse_record(self.frame(frame), offset)[:2]
 
@@ -155,7 +158,7 @@ def write_bundles(pages: DataFrame, folder: str, *, frame_bytes: int = FRAME_BYT
             writer.close()
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return materialize(mark_revisits(pages).mapInArrow(run, f"page_id {kind}, bundle string, frame long, offset long, length long"), "warc-index")
+    return materialize(mark_revisits(pages).mapInArrow(lean(run, 512), f"page_id {kind}, bundle string, frame long, offset long, length long"), "warc-index")
 
 
 def read_bundles(index: DataFrame, folder: str, kind: str = "bigint") -> DataFrame:
@@ -181,12 +184,14 @@ def read_bundles(index: DataFrame, folder: str, kind: str = "bigint") -> DataFra
                         raise ValueError(f"{name}, frame {frame}, offset {offset}: the payload differs from its digest")
                     size = len(payload) if refers is None else int(head["X-Payload-Length"])
                     out.append((None if own is None else to(own), size, head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], None if refers is None else to(refers)))
+                reader.close()
                 cols, kinds = list(zip(*out)), [pa.int64() if to is int else pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if to is int else pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     own = "long" if to is int else "string"
-    bundles = index.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "page_id"))).alias("places"))
-    return bundles.mapInArrow(run, f"page_id {own}, payload_bytes long, payload_digest string, record_type string, refers_to {own}")
+    n = index.select("bundle").distinct().count()  # a task for each bundle
+    bundles = index.repartition(max(1, n), "bundle").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "page_id"))).alias("places"))
+    return bundles.mapInArrow(lean(run, 1), f"page_id {own}, payload_bytes long, payload_digest string, record_type string, refers_to {own}")
 
 
 def follow_revisits(records: DataFrame, index: DataFrame, folder: str) -> DataFrame:
