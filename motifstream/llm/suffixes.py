@@ -5,6 +5,8 @@ first ``length`` bytes); buckets that only one place of the corpus is in are dro
 the bucket identifiers of later offsets: identifiers of 24 bytes make those of 48, these make those of 96 and of
 ``length``, and after each step only buckets with two places or more go on. All but the earliest place of a final
 bucket are removed. Buckets of very many places are dealt by their final identifier instead, which splits them.
+Identifiers are 64-bit names: strings that meet in a task are compared byte by byte before one counts as the other,
+those that do not must agree in a second, independent hash of all their bytes too.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from motifstream.llm.anchors import GRAM, _mix, anchors, grams
 from motifstream.llm.common import documents, free_name, lean, materialize
@@ -26,8 +29,8 @@ HOT = 2000  # places of different surroundings from which a bucket is dealt out
 AT_ONCE = 1 << 19  # strings that are refined at a time; a bucket that is not dealt out may be more
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-ENTRY = np.dtype([("name", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("idx", "<u4"), ("start", "<u4"), ("n", "<u4"), ("at", "<i8")])
-WINDOW = np.dtype([("name", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("idx", "<u4"), ("start", "<u4")])
+ENTRY = np.dtype([("name", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("idx", "<u4"), ("start", "<u4"), ("n", "<u4"), ("at", "<i8"), ("check", "<u8")])
+WINDOW = np.dtype([("name", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("idx", "<u4"), ("start", "<u4")])
 SPAN = np.dtype([("idx", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
@@ -156,6 +159,8 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep_rows: bool
         if ids:
             yield block()
 
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id must be of whole numbers, not {docs.schema['doc_id'].dataType.simpleString()}")
     rows = docs.select(*(docs[c] for c in names), F.col("doc_id").cast("long").alias(id_name), F.col("text").cast("string").alias(text_name))
     return materialize(rows.mapInArrow(lean(run), "tag long, ids array<long>, sizes array<long>, texts binary, n_bytes long, rest binary"), "text-blocks")
 
@@ -206,19 +211,53 @@ def _block_entries(ids: list, tag: int, texts: list[bytes], length: int) -> tupl
     for text, name, content, start, n in _places(texts, length):
         e = np.empty(len(text), ENTRY)
         e["name"], e["content"], e["doc"], e["tag"], e["idx"], e["start"], e["n"], e["at"] = name, content, known[text], tag, text, start, n, offset[text] + start
+        e["check"] = 0
         rows.append(e)
     return (np.concatenate(rows) if rows else np.empty(0, ENTRY)), b"".join(texts)
 
 
-def _split_late(e: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries that are the first of their content, and the spans of the others."""
-    late = not_first((e["name"], e["content"]), (e["doc"], e["tag"], e["idx"], e["start"]))
+def checks(data: bytes, starts, ends) -> list[int]:
+    """A second hash of the bytes from each start to its end."""
+    from xxhash import xxh3_64_intdigest
+
+    return [xxh3_64_intdigest(data[a:z]) for a, z in zip(starts, ends)]
+
+
+def _split_late(e: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that are the first of their bytes among ``e``, whose bytes are in ``data``, and the spans of the others."""
+    order = np.lexsort((e["start"], e["idx"], e["tag"], e["doc"], e["content"], e["name"]))
+    e = e[order]
+    late = np.zeros(len(e), bool)
+    late[1:] = (e["name"][1:] == e["name"][:-1]) & (e["content"][1:] == e["content"][:-1])
+    size, first = (e["n"] + (length - 1)).tolist(), None
+    at = e["at"].tolist()
+    for i in np.flatnonzero(late).tolist():
+        first = i - 1 if not late[i - 1] else first
+        if data[at[i] : at[i] + size[i]] != data[at[first] : at[first] + size[first]]:
+            late[i], first = False, i  # other bytes of the same name
     gone = e[late]
     spans = np.empty(len(gone), SPAN)
     spans["idx"], spans["start"], spans["end"] = gone["idx"], gone["start"], gone["start"] + gone["n"] + (length - 1)
     return e[~late], spans
 
 
+def by_bytes(bucket: np.ndarray, data: bytes, places: np.ndarray, length: int) -> np.ndarray:
+    """``bucket`` as it is if all of its strings, those of ``length`` bytes at ``places``, are equal; else buckets by the bytes themselves."""
+    if not len(bucket):
+        return bucket
+    all_ = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
+    order = np.argsort(bucket, kind="stable")
+    for lo in range(0, len(order) - 1, 1 << 15):
+        own = order[lo : lo + (1 << 15) + 1]
+        same = bucket[own[1:]] == bucket[own[:-1]]
+        one, other = all_[places[own[1:][same]]], all_[places[own[:-1][same]]]
+        if not np.array_equal(one, other):
+            strings = [data[p : p + length] for p in places.tolist()]
+            names = {x: i for i, x in enumerate(set(strings))}
+            return np.array([names[x] for x in strings], np.uint64)
+    return bucket
+
+
 def _runs(values: np.ndarray):
     """(value, first, end) of the runs of a sorted array."""
     edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
@@ -252,7 +291,7 @@ def refine(e: np.ndarray, data: bytes, length: int = LENGTH) -> tuple[np.ndarray
     if not len(live):
         return of[live], at[live]
     own = of[live]
-    bucket = join_names(e["name"][own], pointers.names[base[own] + at[live]])
+    bucket = by_bytes(join_names(e["name"][own], pointers.names[base[own] + at[live]]), data, base[own] + at[live], length)
     late = not_first((bucket,), (e["doc"][own], e["tag"][own], e["idx"][own], e["start"][own] + at[live]))
     return own[late], at[live][late]
 
@@ -309,10 +348,11 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
         zip_ = zstandard.ZstdCompressor(level=1)
         for tag, ids, sizes, packed, warm, hots in _rows(batches, "tag", "ids", "sizes", "texts", "warm", "hots"):
             e, data = _block_entries(ids, tag, _texts(sizes, packed), length)
-            e, spans = _split_late(e, length)
+            e, spans = _split_late(e, data, length)
             rows = []
             warm, hots = (np.frombuffer(b"".join(x or ()), np.uint64) for x in (warm, hots))
             own = e[np.isin(e["name"], warm)]
+            own["check"] = checks(data, own["at"].tolist(), (own["at"] + own["n"] + (length - 1)).tolist())
             bins = (_mix(own["name"]) % np.uint64(n_bins)).astype(np.int64)
             order = np.argsort(bins, kind="stable")
             own = own[order]
@@ -323,13 +363,15 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                 hot = hots[lo:hi]
                 of, at = _windows(hot)
                 size = hot["n"].astype(np.int64) + (length - 1)
-                pointers = Pointers(_snippets(hot, data, length))
+                snippets = _snippets(hot, data, length)
+                pointers = Pointers(snippets)
                 for d in depths(length):
                     pointers.grow(d)
                 w = np.empty(len(of), WINDOW)
-                w["name"] = join_names(hot["name"][of], pointers.names[(np.cumsum(size) - size)[of] + at])
+                places = (np.cumsum(size) - size)[of] + at
+                w["name"], w["check"] = join_names(hot["name"][of], pointers.names[places]), checks(snippets, places.tolist(), (places + length).tolist())
                 w["doc"], w["tag"], w["idx"], w["start"] = hot["doc"][of], tag, hot["idx"][of], hot["start"][of] + at
-                late = not_first((w["name"],), (w["doc"], w["tag"], w["idx"], w["start"]))
+                late = not_first((w["name"], w["check"]), (w["doc"], w["tag"], w["idx"], w["start"]))
                 more = np.empty(int(late.sum()), SPAN)
                 more["idx"], more["start"], more["end"] = w["idx"][late], w["start"][late], w["start"][late] + length
                 spans, w = np.concatenate([spans, merge(more)]), w[~late]
@@ -363,7 +405,7 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                 ends = np.cumsum(e["n"].astype(np.int64) + (length - 1))
                 e["at"] = ends - (e["n"].astype(np.int64) + (length - 1))
                 e["at"] -= e["at"][np.searchsorted(part, part)]
-                late = not_first((e["name"], e["content"]), (e["doc"], e["tag"], e["idx"], e["start"]))
+                late = not_first((e["name"], e["content"], e["check"]), (e["doc"], e["tag"], e["idx"], e["start"]))
                 gone = e[late]
                 found.append((gone["tag"], gone["idx"], gone["start"], gone["start"] + gone["n"] + (length - 1)))
                 e, part = e[~late], part[~late]
@@ -380,7 +422,7 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                     found.append((own["tag"][of], own["idx"][of], own["start"][of] + at, own["start"][of] + at + length))
             if windows:
                 w = np.concatenate([np.frombuffer(unzip.decompress(data), WINDOW, n) for data, _, n in windows])
-                w = w[not_first((w["name"],), (w["doc"], w["tag"], w["idx"], w["start"]))]
+                w = w[not_first((w["name"], w["check"]), (w["doc"], w["tag"], w["idx"], w["start"]))]
                 found.append((w["tag"], w["idx"], w["start"], w["start"] + length))
             tags = np.concatenate([f[0] for f in found])
             spans = np.empty(len(tags), SPAN)
@@ -423,7 +465,7 @@ def removals(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_
 
     Null texts are empty; texts under ``length`` bytes lose nothing; rows without an id come after all others; of rows
     that share an id each is a document of its own, in the order of the scan; an empty table gives no rows; other
-    columns are ignored. A block is at most ``block_bytes`` and one text.
+    columns are ignored; ids that are not whole numbers are a TypeError. A block is at most ``block_bytes`` and one text.
     """
 
     def cut(batches):

@@ -191,6 +191,37 @@ def test_repeats_keep_rows(docs, texts, frame):
     assert [x for _, x in got] == [250, 249, 250] or sorted(x for _, x in got) == [249, 250, 250]
 
 
+def test_strings_of_one_name_are_told_apart_by_their_bytes(monkeypatch):
+    r = random.Random(21)
+    parts = [prose(r, 40).encode()[:150] for _ in range(6)]
+    texts = [parts[i % 6] + bytes([65 + i]) * 30 for i in range(14)]
+
+    def found():
+        e, data = suffixes._block_entries(list(range(14)), 0, texts, 100)
+        kept, spans = suffixes._split_late(e, data, 100)
+        own = kept[np.argsort(kept["name"], kind="stable")]
+        of, at = suffixes.refine(own, suffixes._snippets(own, data, 100), 100)
+        spans = [(int(x["idx"]), a) for x in spans for a in range(x["start"], x["end"] - 99)]
+        return sorted(spans + list(zip(own["idx"][of].tolist(), (own["start"][of] + at).tolist())))
+
+    want = found()
+    seen, plain = set(), []
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                plain.append((i, p))
+            seen.add(t[p : p + 100])
+    assert want == sorted(plain) and want
+    real = suffixes.join_names
+    monkeypatch.setattr(suffixes, "join_names", lambda a, b: real(a, b) % np.uint64(3))  # names that hardly tell anything apart
+    assert found() == want
+
+
+def test_ids_must_be_whole_numbers(frame):
+    with pytest.raises(TypeError):
+        suffixes.removals(frame([]).withColumn("doc_id", toxicity.F.lit("a")))
+
+
 def edits(a, b):
     """Least edits from a to any part of b, by the plain table."""
     row = [0] * (len(b) + 1)
