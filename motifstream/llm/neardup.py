@@ -265,13 +265,16 @@ def rare_pairs(members: DataFrame, classes: DataFrame, *, percent: int = PERCENT
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.full(len(keys), x)) for x in (i, label, len(sh))), pa.array(left)], ["key", "id", "own", "n", "left"])
 
     rows = materialize(texts.select("id", "own", "z").mapInArrow(lean(emit, 512), "key long, id long, own long, n long, left long"), "rare-shingles")
-    met = rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("key")
-    a, b = (rows.join(met, "key").select("key", F.col("id").alias(x), F.col("own").alias(f"own_{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
+    # most keys are of one component only; the others are written, so that Spark knows how few they are before it joins
+    met = materialize(rows.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("key"), "met-keys")
+    left = materialize(rows.join(met, "key"), "met-shingles")
+    release(rows)
+    a, b = (left.select("key", F.col("id").alias(x), F.col("own").alias(f"own_{x}"), F.col("n").alias(f"n{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
     # of the shingles that a pair shares the first has enough of either set after it
     room = F.least("left_a", "left_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    met = materialize(a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & room).select("a", "b").distinct(), "met")
-    out = materialize(_near(met, classes, percent, sketched=False), "rare-pairs")
-    release(rows, met)
+    pairs = materialize(a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & room).select("a", "b").distinct(), "met")
+    out = materialize(_near(pairs, classes, percent, sketched=False), "rare-pairs")
+    release(met, left, pairs)
     return out
 
 
