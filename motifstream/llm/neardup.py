@@ -238,7 +238,8 @@ def rare_pairs(members: DataFrame, classes: DataFrame, *, percent: int = PERCENT
     have, not by what all of them share.
     """
     spark = classes.sparkSession
-    texts = members.join(classes.select("id", "n_shingles", "z"), "id")
+    members = materialize(members, "members")  # as a table of a known size, which Spark sends to the texts as long as it is small
+    texts = materialize(members.join(classes.select("id", "z"), "id"), "member-texts")
 
     def count(batches):
         own, out = _Texts(words), np.zeros(COUNTERS, np.int64)
@@ -274,17 +275,18 @@ def rare_pairs(members: DataFrame, classes: DataFrame, *, percent: int = PERCENT
     room = F.least("left_a", "left_b") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
     pairs = materialize(a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.col("own_a") != F.col("own_b")) & room).select("a", "b").distinct(), "met")
     out = materialize(_near(pairs, classes, percent, sketched=False), "rare-pairs")
-    release(met, left, pairs)
+    release(members, texts, met, left, pairs)
     return out
 
 
-def class_links(classes: DataFrame, *, percent: int = PERCENT, words: int = WORDS, leaders: int = LEADERS, first: DataFrame | None = None) -> DataFrame | None:
-    """(node, component) of all classes (id, n_shingles, bands, sketch, parity, z) with links; ``first``: links known before.
+def class_links(banded: DataFrame, classes: DataFrame, *, percent: int = PERCENT, words: int = WORDS, leaders: int = LEADERS, first: DataFrame | None = None) -> DataFrame | None:
+    """(node, component) of all classes with links: ``banded`` has (id, bands) of each, ``classes`` (id, n_shingles, sketch,
+    parity, z) of these and maybe more to look up; ``first``: links known before.
 
     A round compares each bucket's members with its leader and takes the leader out; buckets whose other members are
     in one component are done. After ``leaders`` rounds the members that are left meet by rare shingles.
     """
-    banded = classes.select("id", F.explode("bands").alias("key"))
+    banded = banded.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     left, labels = materialize(banded.join(sizes, "key"), "buckets"), None
     for _ in range(leaders):
@@ -324,13 +326,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, words: int = WOR
     rows = signed.select("doc_id", "class", "n_shingles")
     own = signed.filter(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     reps = own.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("x")).select(F.col("x.row").alias("id"), F.col("x.doc_id").alias("rep"))
-    classes = materialize(own.join(reps, F.col("row") == F.col("id")).select("id", "rep", "class", "n_shingles", "bands", "sketch", "parity", "z"), "classes")
+    # of a class only its bands move; bitmaps and text of its first row are looked up where a pair asks for them
+    classes = materialize(own.select("row", "class", "bands").join(reps.hint("merge"), F.col("row") == F.col("id")).select("id", "rep", "class", "bands"), "classes")
+    looked = signed.select(F.col("row").alias("id"), "n_shingles", "sketch", "parity", "z")
     # texts of one document are linked; as a rule each has one
     several = own.groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select(F.col("doc_id").alias("of"))
     texts = own.join(several, F.col("doc_id") == F.col("of")).select("of", F.col("class").alias("c")).distinct()
     texts = materialize(texts.join(classes.select("id", "class"), F.col("c") == F.col("class")).select("of", "id"), "texts-of-one")
     stars = texts.join(texts.groupBy("of").agg(F.min("id").alias("a")), "of").filter("a <> id").select("a", F.col("id").alias("b"))
-    labels = class_links(classes, percent=percent, words=words, first=None if texts.isEmpty() else stars)
+    labels = class_links(classes, looked, percent=percent, words=words, first=None if texts.isEmpty() else stars)
     owned = _with_label(classes.select("id", "rep", "class"), labels, "id", "own")
     least = owned.groupBy("own").agg(F.min("rep").alias("component"))
     final = owned.join(least, "own").select(F.col("class").alias("c"), "component")

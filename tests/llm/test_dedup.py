@@ -85,7 +85,8 @@ def test_texts_that_are_only_alike_and_copies_of_one(frame):
     for leaders in (1, 2):
         d = frame(rows)
         signed = neardup.signatures(d, 4).withColumnsRenamed({"doc_id": "id"})
-        labels = neardup.class_links(neardup.materialize(signed, "classes"), words=4, leaders=leaders)
+        signed = neardup.materialize(signed, "classes")
+        labels = neardup.class_links(signed, signed, words=4, leaders=leaders)
         got = {x["node"]: x["component"] for x in labels.collect()}
         assert {i: got.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in want.items()}
     assert {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(frame(rows), words=4).collect()} == {i: c for i, (_, c) in want.items()}
