@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from motifstream.operators.storage import cut
 from motifstream.plans.query import QueryGraph
 
 
 def _neighbours(adj: DataFrame, ids: list[int], most: int) -> dict[int, list[tuple[int, int, int, int]]]:
-    """At most ``most`` neighbours of each vertex, with labels: a bounded look from the driver into the graph."""
-    rows = adj.filter(F.col("src").isin(ids)).select("src", "dst", "elabel", "src_label", "dst_label").distinct()
-    near = rows.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("dst", "elabel", "src_label", "dst_label"))), 1, most).alias("n"))
-    return {r["src"]: [tuple(x) for x in r["n"]] for r in near.collect()}
+    """The ``most`` smallest neighbours of each vertex, with labels: a bounded look from the driver into the graph.
+
+    Ranks are cut off before rows are shuffled, so a hub sends no more than that from a task.
+    """
+    rows = adj.filter(F.col("src").isin(ids)).select("src", "dst", "elabel", "src_label", "dst_label")
+    near = rows.withColumn("n", F.dense_rank().over(W.partitionBy("src").orderBy("dst", "elabel"))).filter(F.col("n") <= most).drop("n").distinct()
+    out: dict[int, list] = {}
+    for r in sorted(near.collect()):
+        out.setdefault(r["src"], []).append(tuple(r)[1:])
+    return out
 
 
 def sample_query(adj: DataFrame, size: int, seed: int = 0, kind: str | None = None, walk: bool = True, tries: int = 20, most: int = 200) -> QueryGraph:
@@ -62,19 +73,36 @@ def random_graph(spark: SparkSession, n_vertices: int, n_edges: int, n_vertex_la
     return vertices, edges.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "elabel").groupBy("src", "dst").agg(F.min("elabel").alias("elabel"))
 
 
-def erdos_renyi(spark: SparkSession, n_vertices: int, p: float, seed: int = 0) -> DataFrame:
-    """Each of the pairs is an edge with chance ``p``; about p n^2 / 2 rows are kept, pairs are hashed one row at a time."""
-    a = spark.range(n_vertices).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.lit(n_vertices))).alias("dst")).filter(F.col("dst") < n_vertices)
-    return a.filter(F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(1 << 30)) < int(p * (1 << 30))).select("src", "dst", F.lit(0).alias("elabel"))
+def erdos_renyi(spark: SparkSession, n_vertices: int, p: float, seed: int = 0, block_edges: int = 1_000_000) -> DataFrame:
+    """Each of the pairs is an edge with chance ``p``: gaps between edges are drawn, so work follows the edges, not the pairs.
+
+    Pairs are numbered row by row and split into blocks of about ``block_edges`` edges, each with a generator of its own.
+    """
+    pairs = n_vertices * (n_vertices - 1) // 2
+    block = max(1, math.ceil(block_edges / max(p, 1e-12)))
+
+    def draw(batches):
+        for b in batches:
+            for i in b["id"].to_pylist():
+                rng, size, at = np.random.default_rng([seed, i]), min(block, pairs - i * block), [np.zeros(0, np.int64)]
+                last = -1
+                while last < size and p > 0:
+                    at.append(last + np.cumsum(rng.geometric(min(p, 1), int(size * min(p, 1) * 1.1) + 16)))
+                    last = int(at[-1][-1])
+                k = np.concatenate(at)
+                k = k[k < size] + i * block
+                src = ((2 * n_vertices - 1 - np.sqrt((2.0 * n_vertices - 1) ** 2 - 8.0 * k)) / 2).astype(np.int64)
+                first = lambda a: a * (2 * n_vertices - a - 1) // 2
+                src -= first(src) > k  # where the root was rounded
+                src += first(src + 1) <= k
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(src + 1 + k - first(src)), pa.array(np.zeros(len(k), np.int32))], ["src", "dst", "elabel"])
+
+    return spark.range(math.ceil(pairs / block)).mapInArrow(draw, "src long, dst long, elabel int")
 
 
 def dense_ids(vertices: DataFrame) -> DataFrame:
     """(id, new_id): ids as 0 .. n - 1 in order: sizes of ranges first, then places in them."""
-    from pyspark.sql import Window as W
-
     ranged = vertices.select("id").distinct().repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    from motifstream.operators.storage import cut
-
     ranged = cut(ranged, "ranged")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")

@@ -8,7 +8,9 @@ from math import factorial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifstream.operators.delta import _alive_at, _anchors
 from motifstream.operators.match import _apart, edge_side
+from motifstream.operators.storage import cut
 from motifstream.plans.query import QueryGraph
 
 
@@ -100,3 +102,61 @@ def _with_count(q: QueryGraph, edges: DataFrame, core_rows: DataFrame, core: lis
         hit = fit.select(*keys, F.col("x").alias(t), F.lit(1).alias("_hit"))
         out = out.join(hit, [*keys, t], "left").withColumn(name, F.col(name) - F.coalesce("_hit", F.lit(0))).drop("_hit")
     return out
+
+
+def shell_deltas(q: QueryGraph, adj: DataFrame, shell: list[int], after: int, upto: int) -> DataFrame:
+    """(seq, positives, negatives) of the updates in (after, upto], without tuples of ``shell`` vertices.
+
+    For each query edge that an update can be mapped to, core matches are joined as in the anchored plans; shell
+    vertices away from that edge are counted by the vertices alive at the update that fit them.
+    """
+    if any(v in shell for s in shell for v in q.neighbours(s)):
+        raise ValueError("shell vertices may not touch")
+    alive, parts = adj.filter((F.col("start_seq") <= upto) & (F.col("end_seq") > after)), []
+    for sign in (1, -1):
+        for i in range(len(q.edges)):
+            n = _anchored_count(q, alive, i, [s for s in shell if s not in q.edges[i][:2]], after, upto, sign)
+            parts.append(n.select("seq", *((F.col("n") if sign == k else F.lit(0).cast("long")).alias(c) for k, c in ((1, "positives"), (-1, "negatives")))))
+    out = reduce(DataFrame.unionByName, parts).groupBy("seq").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    return out.filter("positives > 0 or negatives > 0")
+
+
+def _anchored_count(q: QueryGraph, adj: DataFrame, anchor: int, shell: list[int], after: int, upto: int, sign: int) -> DataFrame:
+    """(seq, n): embeddings that have a change at query edge ``anchor``, as sums over its core matches."""
+    at, ok = {frozenset(e[:2]): i for i, e in enumerate(q.edges)}, _alive_at(anchor, sign, True)
+    out, done = _anchors(adj, q, anchor, after, upto, sign), list(q.edges[anchor][:2])
+
+    def joined(rows: DataFrame, b: int, x: int, name: str, closing: bool) -> DataFrame:
+        e = edge_side(adj, q, b, x, q.neighbours(b)[x], "new").withColumnRenamed(f"u{x}", name)
+        return rows.join(e, [f"u{b}"] + ([name] if closing else [])).filter(ok(at[frozenset((b, x))])).drop("s_new", "e_new")
+
+    rest = [u for u in range(q.size) if u not in shell and u not in done]
+    while rest:
+        w = max((x for x in rest if any(y in done for y in q.neighbours(x))), key=lambda x: (sum(y in done for y in q.neighbours(x)), -x), default=None)
+        if w is None:
+            raise ValueError("the vertices outside the shell must be connected")
+        rest.remove(w)
+        for i, b in enumerate(x for x in q.neighbours(w) if x in done):
+            out = joined(out, b, w, f"u{w}", i > 0)
+            if not i and (apart := _apart(q, w, done)) is not None:
+                out = out.filter(apart)
+        done.append(w)
+    if not shell:
+        return out.groupBy("seq").agg(F.count("*").alias("n"))
+    rows = cut(out.select(*(f"u{u}" for u in done), "seq").withColumn("row", F.monotonically_increasing_id()), "core")
+    counted, terms, counts = {}, [], rows.select("seq", "row")
+    for split in _partitions(shell):
+        if any(not _one_label(q, g) for g in split):
+            continue
+        factors = []
+        for g in map(tuple, map(sorted, split)):
+            if g not in counted:
+                counted[g] = f"n{len(counted)}"
+                fit = rows
+                for i, (s, b) in enumerate((s, b) for s in g for b in q.neighbours(s)):
+                    fit = joined(fit, b, s, "x", i > 0)
+                fit = fit.filter(reduce(lambda a, b: a & b, [F.col("x") != F.col(f"u{u}") for u in done]))
+                counts = counts.join(fit.groupBy("row").agg(F.count("*").alias(counted[g])), "row", "left").fillna(0, [counted[g]])
+            factors.append(F.col(counted[g]) * (-1) ** (len(g) - 1) * factorial(len(g) - 1))
+        terms.append(reduce(lambda a, b: a * b, factors))
+    return counts.groupBy("seq").agg(F.sum(reduce(lambda a, b: a + b, terms)).cast("long").alias("n"))

@@ -12,14 +12,19 @@ from motifstream.plans.planner import graphflow, steps
 from motifstream.plans.query import QueryGraph
 
 
-def _chain(q: QueryGraph, adj: DataFrame, anchor: int, first: DataFrame, ok, homo: bool) -> DataFrame:
-    """Extend anchored edges (u, v, s_anchor, e_anchor); ``ok(j)`` is the life test of query edge j."""
+def _chain(q: QueryGraph, adj: DataFrame, anchor: int, first: DataFrame, ok, homo: bool, order: list[int] | None = None, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Extend anchored edges (u, v, s_anchor, e_anchor) in an order that starts with their ends; ``ok(j)`` is the life test of query edge j."""
     at = {frozenset(e[:2]): i for i, e in enumerate(q.edges)}
     u, v, _ = q.edges[anchor]
     out, done = first, [u, v]
-    for step in steps(q, graphflow(q, (u, v)))[2:]:
+    plan = steps(q, order or graphflow(q, (u, v)))
+    if {plan[0].vertex, plan[1].vertex} != {u, v}:
+        raise ValueError(f"the order of query edge {u}-{v} has to start with its ends")
+    for step in plan[2:]:
         for i, b in enumerate(step.backward):
             e = edge_side(adj, q, b, step.vertex, q.neighbours(b)[step.vertex], "new")
+            if candidates and step.vertex in candidates:
+                e = e.join(candidates[step.vertex].select(F.col("v").alias(f"u{step.vertex}")), f"u{step.vertex}", "left_semi")
             out = out.join(e, [f"u{b}"] + ([f"u{step.vertex}"] if i else [])).filter(ok(at[frozenset((b, step.vertex))])).drop("s_new", "e_new")
             if not i and not homo and (apart := _apart(q, step.vertex, done)) is not None:
                 out = out.filter(apart)
@@ -27,24 +32,35 @@ def _chain(q: QueryGraph, adj: DataFrame, anchor: int, first: DataFrame, ok, hom
     return out.select(*(f"u{i}" for i in range(q.size)), F.col("seq"))
 
 
-def anchored(q: QueryGraph, adj: DataFrame, after: int, upto: int, *, sign: int = 1, homo: bool = False, homo_multiplicity: bool = False) -> DataFrame:
+def _anchors(adj: DataFrame, q: QueryGraph, i: int, after: int, upto: int, sign: int) -> DataFrame:
+    """Changes in (after, upto] that query edge i can be mapped to."""
+    changed = F.col("start_seq" if sign > 0 else "end_seq")
+    return edge_side(adj.filter((changed > after) & (changed <= upto)), q, *q.edges[i], "anchor").withColumn("seq", F.col("s_anchor" if sign > 0 else "e_anchor"))
+
+
+def _alive_at(i: int, sign: int, ties: bool):
+    """The life test of query edge j beside the anchor i: alive at the change; with ``ties`` edges before i must not change with it."""
+
+    def ok(j: int):
+        s, e, strict = F.col("s_new"), F.col("e_new"), ties and j < i
+        if sign > 0:
+            return (s < F.col("seq") if strict else s <= F.col("seq")) & (e > F.col("seq"))
+        return (s < F.col("seq")) & (e > F.col("seq") if strict else e >= F.col("seq"))
+
+    return ok
+
+
+def anchored(q: QueryGraph, adj: DataFrame, after: int, upto: int, *, sign: int = 1, homo: bool = False, homo_multiplicity: bool = False,
+             orders: dict[int, list[int]] | None = None, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
     """(u0 .., seq): embeddings that updates in (after, upto] make (sign 1) or end (sign -1).
 
     The changed edges are the small side of each chain. Ties between edges that change at one update go to the query
     edge with the smallest number; with ``homo_multiplicity`` an embedding counts once for each query edge on it.
+    ``orders`` has orders of its own for some query edges (by number), which start with the edge's ends.
     """
     parts, alive = [], adj.filter((F.col("start_seq") <= upto) & (F.col("end_seq") > after))
-    for i, (u, v, c) in enumerate(q.edges):
-        changed = F.col("start_seq" if sign > 0 else "end_seq")
-        first = edge_side(alive.filter((changed > after) & (changed <= upto)), q, u, v, c, "anchor").withColumn("seq", F.col("s_anchor" if sign > 0 else "e_anchor"))
-
-        def ok(j: int, i=i):
-            s, e, strict = F.col("s_new"), F.col("e_new"), j < i and not homo_multiplicity
-            if sign > 0:
-                return (s < F.col("seq") if strict else s <= F.col("seq")) & (e > F.col("seq"))
-            return (s < F.col("seq")) & (e > F.col("seq") if strict else e >= F.col("seq"))
-
-        parts.append(_chain(q, alive, i, first, ok, homo))
+    for i in range(len(q.edges)):
+        parts.append(_chain(q, alive, i, _anchors(alive, q, i, after, upto, sign), _alive_at(i, sign, not homo_multiplicity), homo, (orders or {}).get(i), candidates))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -36,13 +36,24 @@ def edge_ops(edges: DataFrame, updates: DataFrame, cascade_vertex_delete: bool =
     later = updates.filter("kind = 'e' and id1 <> id2").select(F.least("id1", "id2").alias("lo"), F.greatest("id1", "id2").alias("hi"), "seq", "is_add", "label")
     ops = first.unionByName(later)
     if cascade_vertex_delete:
-        gone = updates.filter("kind = 'v' and not is_add").select(F.col("id1").alias("id"), F.col("seq").alias("at"))
-        pairs = ops.filter("is_add").select("lo", "hi").distinct()
-        hit = pairs.join(gone, F.col("lo") == F.col("id")).select("lo", "hi", "at").unionByName(pairs.join(gone, F.col("hi") == F.col("id")).select("lo", "hi", "at"))
-        ops = ops.unionByName(hit.distinct().select("lo", "hi", F.col("at").alias("seq"), F.lit(False).alias("is_add"), F.lit(None).cast("int").alias("label")))
+        ops = ops.unionByName(closings(ops, updates))
     return ops
 
 
+def closings(ops: DataFrame, updates: DataFrame) -> DataFrame:
+    """For each add the first delete of either end after it, as a delete of the edge: no more rows than twice the adds.
+
+    A vertex brings the list of its own deletes to its edges, so a hub that is deleted often costs its edges one look
+    into that list each.
+    """
+    gone = updates.filter("kind = 'v' and not is_add").groupBy(F.col("id1").alias("id")).agg(F.collect_set("seq").alias("ats"))
+    adds = ops.filter("is_add").select("lo", "hi", "seq")
+    first = F.array_min(F.filter("ats", lambda x: x > F.col("seq")))
+    ends = [adds.join(gone, adds[end] == gone["id"]).select("lo", "hi", first.alias("at")) for end in ("lo", "hi")]
+    hit = ends[0].unionByName(ends[1]).filter("at is not null").distinct()
+    return hit.select("lo", "hi", F.col("at").alias("seq"), F.lit(False).alias("is_add"), F.lit(None).cast("int").alias("label"))
+
+
 def edge_lifetimes(edges: DataFrame, updates: DataFrame | None = None, cascade_vertex_delete: bool = True) -> DataFrame:
     """(src, dst, elabel, start_seq, end_seq) with src < dst. Repeated adds and deletes of missing edges do nothing."""
     if updates is None:
@@ -87,3 +98,22 @@ def build_adjacency(vertices: DataFrame, edges: DataFrame, updates: DataFrame |
 def snapshot(adj: DataFrame, seq: int = 0) -> DataFrame:
     """What is alive once update ``seq`` is applied."""
     return adj.filter((F.col("start_seq") <= seq) & (F.col("end_seq") > seq))
+
+
+NAMES = ["src", "dst", "elabel", "src_label", "dst_label", "start_seq", "end_seq"]
+
+
+def store_adjacency(adj: DataFrame, path: str) -> DataFrame:
+    """``adj`` written once for many queries: a folder for each edge label, and in each file rows by label and vertex.
+
+    A query edge then reads its edge label's folder only, and of its files the parts with its vertex labels.
+    """
+    adj.select(*NAMES).sortWithinPartitions("elabel", "src_label", "dst_label", "src").write.partitionBy("elabel").parquet(path)
+    return read_adjacency(adj.sparkSession, path)
+
+
+def read_adjacency(spark, path: str) -> DataFrame:
+    kinds = {"elabel": "int", "src_label": "int", "dst_label": "int"}
+    out = spark.read.schema(", ".join(f"{c} {kinds.get(c, 'long')}" for c in NAMES)).parquet(path).select(*NAMES)
+    out.staged = path
+    return out

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifstream.operators.lifetimes import FOREVER
-from motifstream.plans.planner import graphflow, steps
+from motifstream.operators.storage import cut
+from motifstream.plans.planner import Step, graphflow, steps
 from motifstream.plans.query import QueryGraph
 
 BOTH = "both"
@@ -28,6 +29,23 @@ def _apart(q: QueryGraph, new: int, old: list[int]):
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
+def extend(q: QueryGraph, adj: DataFrame, out: DataFrame | None, step: Step, done: list[int], *, homo: bool = False, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Partial matches of the vertices ``done``, joined to ``step``'s vertex over all its earlier neighbours."""
+    for i, b in enumerate(step.backward):
+        e = edge_side(adj, q, b, step.vertex, q.neighbours(b)[step.vertex], "new")
+        for x in (b, step.vertex):
+            if candidates and x in candidates:
+                e = e.join(candidates[x].select(F.col("v").alias(f"u{x}")), f"u{x}", "left_semi")
+        if out is None:
+            out = e.withColumnsRenamed({"s_new": "st", "e_new": "en"})
+            continue
+        keys = [f"u{b}"] + ([f"u{step.vertex}"] if i else [])
+        out = out.join(e, keys).withColumn("st", F.greatest("st", "s_new")).withColumn("en", F.least("en", "e_new")).drop("s_new", "e_new").filter("st < en")
+        if not i and not homo and (apart := _apart(q, step.vertex, done)) is not None:
+            out = out.filter(apart)
+    return out
+
+
 def matches(q: QueryGraph, adj: DataFrame, *, order: list[int] | None = None, homo: bool = False, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
     """All embeddings as (u0 .. uk-1, st, en): each exists from update st to before update en.
 
@@ -37,28 +55,40 @@ def matches(q: QueryGraph, adj: DataFrame, *, order: list[int] | None = None, ho
     """
     plan = steps(q, order or graphflow(q))
     out, done = None, [plan[0].vertex]
-
-    def side(a: int, b: int) -> DataFrame:
-        e = edge_side(adj, q, a, b, q.neighbours(a)[b], "new")
-        for x in (a, b):
-            if candidates and x in candidates:
-                e = e.join(candidates[x].select(F.col("v").alias(f"u{x}")), f"u{x}", "left_semi")
-        return e
-
     for step in plan[1:]:
-        for i, b in enumerate(step.backward):
-            e = side(b, step.vertex)
-            if out is None:
-                out = e.withColumnsRenamed({"s_new": "st", "e_new": "en"})
-                continue
-            keys = [f"u{b}"] + ([f"u{step.vertex}"] if i else [])
-            out = out.join(e, keys).withColumn("st", F.greatest("st", "s_new")).withColumn("en", F.least("en", "e_new")).drop("s_new", "e_new").filter("st < en")
-            if not i and not homo and (apart := _apart(q, step.vertex, done)) is not None:
-                out = out.filter(apart)
+        out = extend(q, adj, out, step, done, homo=homo, candidates=candidates)
         done.append(step.vertex)
     return out.select(*(f"u{i}" for i in range(q.size)), "st", "en")
 
 
+def pruning_counters(q: QueryGraph, adj: DataFrame, *, order: list[int] | None = None, homo: bool = False, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
+    """(step, vertex, partial, extended, indexed, joinable, unvisited, dead_ends) of each step of a search in the graph of ``adj`` (lives are ignored).
+
+    ``partial`` matches come in; ``extended`` by a neighbour of the right labels, of these ``indexed`` are candidates,
+    ``joinable`` have the other edges as well and ``unvisited`` are new to the match; ``dead_ends`` got no extension.
+    """
+    plan, now, parts = steps(q, order or graphflow(q)), None, []
+    flat = adj.withColumns({"start_seq": F.lit(0).cast("long"), "end_seq": F.lit(FOREVER)})
+    side = lambda b, w: edge_side(flat, q, b, w, q.neighbours(b)[w], "new").drop("s_new", "e_new")
+    fits = lambda df, x: df.join(candidates[x].select(F.col("v").alias(f"u{x}")), f"u{x}", "left_semi") if candidates and x in candidates else df
+    first = plan[0].vertex
+    now = flat if q.label_set(first) is None else flat.filter(F.col("src_label").isin(sorted(q.label_set(first))))
+    now, done = cut(fits(now.select(F.col("src").alias(f"u{first}")).distinct(), first), "partial"), [first]
+    for i, step in enumerate(plan[1:], 1):
+        extended = now.join(side(step.backward[0], step.vertex), f"u{step.backward[0]}")
+        indexed = fits(extended, step.vertex)
+        joinable = reduce(lambda df, b: df.join(side(b, step.vertex), [f"u{b}", f"u{step.vertex}"]), step.backward[1:], indexed)
+        apart = None if homo else _apart(q, step.vertex, done)
+        unvisited = cut(joinable if apart is None else joinable.filter(apart), "partial")
+        dead = now.join(unvisited.select(*(f"u{x}" for x in done)).distinct(), [f"u{x}" for x in done], "left_anti")
+        for name, df in (("partial", now), ("extended", extended), ("indexed", indexed), ("joinable", joinable), ("unvisited", unvisited), ("dead_ends", dead)):
+            parts.append(df.agg(F.count("*").alias("n")).select(F.lit(i).alias("step"), F.lit(step.vertex).alias("vertex"), F.lit(name).alias("name"), "n"))
+        now = unvisited
+        done.append(step.vertex)
+    names = ("partial", "extended", "indexed", "joinable", "unvisited", "dead_ends")
+    return reduce(DataFrame.unionByName, parts).groupBy("step", "vertex").agg(*(F.max(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in names))
+
+
 def initial_count(found: DataFrame) -> DataFrame:
     return found.filter("st = 0").agg(F.count("*").alias("initial"))
 

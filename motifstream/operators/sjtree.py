@@ -12,20 +12,44 @@ from motifstream.operators.storage import cut
 from motifstream.plans.query import QueryGraph
 
 
+def _extend(q: QueryGraph, left: DataFrame, leaf: DataFrame, u: int, v: int, homo: bool) -> DataFrame:
+    """Partial matches joined to the leaf of query edge u-v on the vertices they share."""
+    have = [x for x in left.columns if x.startswith("u")]
+    out = left.join(leaf, [k for k in (f"u{u}", f"u{v}") if k in have]).withColumn("st", F.greatest("st", "s_new")).withColumn("en", F.least("en", "e_new")).drop("s_new", "e_new").filter("st < en")
+    for new in (x for x in (u, v) if f"u{x}" not in have):
+        tests = [F.col(f"u{new}") != F.col(k) for k in have if q.may_be_equal(new, int(k[1:]))]
+        if tests and not homo:
+            out = out.filter(reduce(lambda a, b: a & b, tests))
+    return out
+
+
 def partial_matches(q: QueryGraph, adj: DataFrame, order: list[tuple[int, int, int]], *, homo: bool = False, store: bool = True) -> list[DataFrame]:
-    """Node i holds the matches of the first i + 1 query edges of ``order``, keyed by one or two shared vertices."""
+    """Node i holds the matches of the first i + 1 query edges of ``order``, keyed by one or two shared vertices.
+
+    ``store`` writes each inner node, for later appends; without it the nodes are one plan.
+    """
     nodes: list[DataFrame] = []
     for u, v, c in order:
         leaf = edge_side(adj, q, u, v, c, "new")
-        if not nodes:
+        if nodes:
+            out = _extend(q, nodes[-1], leaf, u, v, homo)
+            nodes.append(cut(out, "partial") if store else out)
+        else:
             nodes.append(leaf.withColumnsRenamed({"s_new": "st", "e_new": "en"}))
-            continue
-        have = [x for x in nodes[-1].columns if x.startswith("u")]
-        keys = [k for k in (f"u{u}", f"u{v}") if k in have]
-        out = nodes[-1].join(leaf, keys).withColumn("st", F.greatest("st", "s_new")).withColumn("en", F.least("en", "e_new")).drop("s_new", "e_new").filter("st < en")
-        for new in (x for x in (u, v) if f"u{x}" not in have):
-            tests = [F.col(f"u{new}") != F.col(k) for k in have if q.may_be_equal(new, int(k[1:]))]
-            if tests and not homo:
-                out = out.filter(reduce(lambda a, b: a & b, tests))
-        nodes.append(cut(out, "partial") if store else out)
     return nodes
+
+
+def append(q: QueryGraph, nodes: list[DataFrame], adj: DataFrame, added: DataFrame, order: list[tuple[int, int, int]], *, homo: bool = False) -> list[DataFrame]:
+    """What edge lives ``added`` (both directions) add to each node; ``adj`` holds all lives, those of ``added`` too.
+
+    New matches of a node are its old left side with new edges, and new left sides with any edge: nothing is built again.
+    """
+    new: list[DataFrame] = []
+    for i, (u, v, c) in enumerate(order):
+        leaf = edge_side(added, q, u, v, c, "new")
+        if new:
+            grown = _extend(q, nodes[i - 1], leaf, u, v, homo).unionByName(_extend(q, new[-1], edge_side(adj, q, u, v, c, "new"), u, v, homo))
+            new.append(cut(grown, "partial"))
+        else:
+            new.append(leaf.withColumnsRenamed({"s_new": "st", "e_new": "en"}))
+    return new

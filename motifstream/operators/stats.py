@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifstream.operators.storage import cut
+from motifstream.operators.storage import cut, release
 from motifstream.plans.query import QueryGraph
 
 
@@ -59,18 +61,34 @@ def induced(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids, edges["src"] == ids["id"], "left_semi").join(ids, edges["dst"] == ids["id"], "left_semi")
 
 
-def diameter(edges: DataFrame, max_rounds: int = 64) -> int:
-    """Longest shortest path of a small graph: breadth-first search from all vertices at once, a join a step."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().cache()
-    reach = both.select(F.col("src").alias("a"), F.col("src").alias("b")).distinct()
-    far = 0
+MAX_VERTICES = 20_000  # of a graph whose diameter is asked for: all pairs of them are kept
+
+
+def diameter(edges: DataFrame, max_rounds: int = 256, max_vertices: int = MAX_VERTICES) -> int:
+    """Longest shortest path of a small graph: breadth-first search from all vertices at once, a join a step.
+
+    All pairs that reach each other are rows, so larger graphs are an error, as are paths over ``max_rounds``.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = cut(both, "small-graph")
+    reach = cut(both.select(F.col("src").alias("a"), F.col("src").alias("b")).distinct(), "reached")
+    if (n := reach.count()) > max_vertices:
+        raise ValueError(f"diameter: {n} vertices, at most {max_vertices} are supported")
+    fronts, far = [reach], 0
     try:
-        front = reach
-        while far < max_rounds:
-            front = cut(front.join(both, front["b"] == both["src"]).select("a", F.col("dst").alias("b")).distinct().join(reach, ["a", "b"], "left_anti"), "frontier")
-            if front.isEmpty():
+        while far <= max_rounds:
+            known = reduce(DataFrame.unionByName, fronts)
+            near = fronts[-1].join(both, fronts[-1]["b"] == both["src"]).select("a", F.col("dst").alias("b")).distinct()
+            fronts.append(cut(near.join(known, ["a", "b"], "left_anti"), "frontier"))
+            if fronts[-1].isEmpty():
                 return far
-            reach, far = reach.unionByName(front), far + 1
+            far += 1
     finally:
-        both.unpersist()
-    return far
+        release(both, *fronts)
+    raise RuntimeError(f"diameter: paths of more than {max_rounds} edges")
+
+
+def edge_labels_of(pairs: DataFrame, adj: DataFrame, seq: int = 0) -> DataFrame:
+    """``pairs`` (src, dst) with the label of the edge between them once update ``seq`` is applied, null where there is none."""
+    alive = adj.filter((F.col("start_seq") <= seq) & (F.col("end_seq") > seq)).select("src", "dst", "elabel")
+    return pairs.select("src", "dst").join(alive, ["src", "dst"], "left")

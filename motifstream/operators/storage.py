@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset and all runs in one process."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="motifstream-")
         spark.sparkContext.setCheckpointDir(top)
         spark.conf.set("spark.checkpoint.dir", top)
@@ -22,4 +24,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written there and read back, so that its lineage ends and lost executors lose nothing of it."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged = path
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file at ``path``, wherever that is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``cut`` that nothing will read again."""
+    for df in frames:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

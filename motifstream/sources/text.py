@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from motifstream.plans.query import QueryGraph
@@ -35,9 +36,15 @@ def restrict_to_labels(vertices: DataFrame, edges: DataFrame, q: QueryGraph) ->
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` (value) with ``seq`` from 1 in file order: counts of partitions first, then offsets. No global sort."""
-    rdd = lines.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda p: (p[1] + 1, p[0]))
-    return lines.sparkSession.createDataFrame(rdd, "seq long, value string")
+    """``lines`` (value) read from files, with ``seq`` from 1: files by name, lines in order.
+
+    A line's place in its part of a file comes from the scan; lines before that part are counted by part, which is a
+    row for each, so nothing is sorted or sent to Python.
+    """
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    parts = placed.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(parts.withColumn("before", before).drop("n"), ["file", "block"]).select((F.col("at") - F.col("first") + F.col("before") + 1).alias("seq"), "value")
 
 
 def read_updates(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +95,22 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str, edge_labels: b
     graph_lines(vertices, edges, edge_labels).orderBy("o", "k").select("value").write.text(path)
 
 
+def update_lines(updates: DataFrame) -> DataFrame:
+    """(seq, value): updates as ``v -v e -e`` lines."""
+    op = F.concat(F.when(F.col("is_add"), "").otherwise("-"), "kind")
+    return updates.select("seq", F.concat_ws(" ", op, "id1", "id2", F.when(F.col("is_add") | (F.col("kind") == "v"), F.col("label"))).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """(seq, value) as text, in order over the part files."""
+    lines.orderBy("seq", "value").select("value").write.text(path)
+
+
+def timed_edge_lines(edges: DataFrame) -> DataFrame:
+    """``src dst elabel srclabel dstlabel ts`` lines."""
+    return edges.select(F.concat_ws(" ", "src", "dst", "elabel", "src_label", "dst_label", "ts").alias("value"))
+
+
 def encode_signed_updates(updates: DataFrame) -> DataFrame:
     """Edge updates as ``e a b`` lines with deletions as -id - 1."""
     put = lambda c: F.when(F.col("is_add"), F.col(c)).otherwise(-F.col(c) - 1)
