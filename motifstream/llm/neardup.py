@@ -27,7 +27,7 @@ BITS = 1024
 PERCENT = 80
 QUERY_WORDS = 4  # what the query op4 asks for
 MARGIN = 0.25  # of the sketch's estimate below the threshold: seven deviations of 128 samples
-CACHE = 500_000
+CACHE = 200_000
 LEADERS = 1  # of a bucket, before rare shingles
 COUNTERS = 1 << 18  # of shingles: their order is by these, so the numbers that go to the driver have a fixed size
 SIZE_STEP = 1.05  # from one class of set sizes to the next

@@ -24,9 +24,9 @@ from motifstream.llm.anchors import GRAM, _mix, anchors, grams
 from motifstream.llm.common import documents, free_name, lean, materialize
 
 LENGTH = 100
-BLOCK_BYTES, CHUNK_BYTES, BIN_BYTES = 4 << 20, 1 << 19, 16 << 20
+BLOCK_BYTES, CHUNK_BYTES, BIN_BYTES = 4 << 20, 1 << 18, 8 << 20
 HOT = 2000  # places of different surroundings from which a bucket is dealt out
-AT_ONCE = 1 << 19  # strings that are refined at a time; a bucket that is not dealt out may be more
+AT_ONCE = 1 << 17  # strings that are refined at a time; a bucket that is not dealt out may be more
 NO_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 ENTRY = np.dtype([("name", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("idx", "<u4"), ("start", "<u4"), ("n", "<u4"), ("at", "<i8"), ("check", "<u8")])
@@ -216,11 +216,11 @@ def _block_entries(ids: list, tag: int, texts: list[bytes], length: int) -> tupl
     return (np.concatenate(rows) if rows else np.empty(0, ENTRY)), b"".join(texts)
 
 
-def checks(data: bytes, starts, ends) -> list[int]:
-    """A second hash of the bytes from each start to its end."""
+def checks(data: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A second hash of the bytes from each start, so many of them."""
     from xxhash import xxh3_64_intdigest
 
-    return [xxh3_64_intdigest(data[a:z]) for a, z in zip(starts, ends)]
+    return np.fromiter((xxh3_64_intdigest(data[a : a + n]) for a, n in zip(starts, size)), np.uint64, len(starts))
 
 
 def _split_late(e: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +352,7 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
             rows = []
             warm, hots = (np.frombuffer(b"".join(x or ()), np.uint64) for x in (warm, hots))
             own = e[np.isin(e["name"], warm)]
-            own["check"] = checks(data, own["at"].tolist(), (own["at"] + own["n"] + (length - 1)).tolist())
+            own["check"] = checks(data, own["at"], own["n"].astype(np.int64) + (length - 1))
             bins = (_mix(own["name"]) % np.uint64(n_bins)).astype(np.int64)
             order = np.argsort(bins, kind="stable")
             own = own[order]
@@ -369,7 +369,7 @@ def late_spans(blocks: DataFrame, buckets: DataFrame, n_bins: int, length: int)
                     pointers.grow(d)
                 w = np.empty(len(of), WINDOW)
                 places = (np.cumsum(size) - size)[of] + at
-                w["name"], w["check"] = join_names(hot["name"][of], pointers.names[places]), checks(snippets, places.tolist(), (places + length).tolist())
+                w["name"], w["check"] = join_names(hot["name"][of], pointers.names[places]), checks(snippets, places, np.full(len(places), length))
                 w["doc"], w["tag"], w["idx"], w["start"] = hot["doc"][of], tag, hot["idx"][of], hot["start"][of] + at
                 late = not_first((w["name"], w["check"]), (w["doc"], w["tag"], w["idx"], w["start"]))
                 more = np.empty(int(late.sum()), SPAN)
