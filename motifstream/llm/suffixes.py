@@ -220,7 +220,7 @@ def checks(data: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A second hash of the bytes from each start, so many of them."""
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(data[a : a + n]) for a, n in zip(starts, size)), np.uint64, len(starts))
+    return np.fromiter((xxh3_64_intdigest(data[a : a + n]) for a, n in zip(starts.tolist(), size.tolist())), np.uint64, len(starts))
 
 
 def _split_late(e: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
