@@ -28,7 +28,7 @@ PAIR = QueryGraph.of((C, 10, 10), [(0, 1, 0), (0, 2, 0)])
 STAR = QueryGraph.of((0, 10, 10, 10), [(0, 1, 0), (0, 2, 0), (0, 3, 0)])
 SELECTIVE = QueryGraph.of((0, 10, 20, 30), [(0, 1, 0), (1, 2, 1), (0, 3, 2), (2, 3, 3)])
 MANY = {"cycle": CYCLE, "tree": TREE, "selective": SELECTIVE}
-AFTER, UPTO = 100, 3000  # the range of updates of the anchored queries
+AFTER, UPTO = 100, 3000  # the range of updates of the query whose feature is a range
 CAP = 2
 
 
@@ -268,10 +268,6 @@ _add("update_deltas", lambda s, d: m.deltas(_found(CYCLE)(s, d)), _with(_DELTAS,
 _add("positive_deltas", lambda s, d: m.deltas(_found(CYCLE)(s, d)).filter("positives > 0").select("seq", "positives"), _with("SELECT st AS seq, count(*) AS positives FROM found WHERE st > 0 GROUP BY 1", CYCLE))
 _add("negative_deltas", lambda s, d: m.deltas(_found(CYCLE)(s, d)).filter("negatives > 0").select("seq", "negatives"), _with(f"SELECT en AS seq, count(*) AS negatives FROM found WHERE en < {_HUGE} GROUP BY 1", CYCLE))
 _add("anchored_delta_batch", lambda s, d: delta.anchored_deltas(CYCLE, adj(s, d), AFTER, UPTO), _with(f"SELECT * FROM ({_DELTAS}) WHERE seq > {AFTER} AND seq <= {UPTO}", CYCLE))
-_add("homo_once_delta", lambda s, d: delta.anchored(EQUAL, adj(s, d), AFTER, UPTO, homo=True).groupBy("seq").agg(F.count("*").alias("positives")),
-     _with(f"SELECT st AS seq, count(*) AS positives FROM found WHERE st > {AFTER} AND st <= {UPTO} GROUP BY 1", EQUAL, True))
-_add("homo_multiplicity_delta", lambda s, d: delta.anchored(EQUAL, adj(s, d), AFTER, UPTO, homo=True, homo_multiplicity=True).groupBy("seq").agg(F.count("*").alias("positives")),
-     _with(f"SELECT st AS seq, sum({' + '.join(f'(s{i} = st)::INT' for i in range(4))})::BIGINT AS positives FROM found WHERE st > {AFTER} AND st <= {UPTO} GROUP BY 1", EQUAL, True))
 
 
 def _whole(run):
@@ -287,8 +283,8 @@ def _whole(run):
 
 _count = lambda found: found.groupBy("seq").agg(F.count("*").alias("positives"))
 _add("anchored_delta_whole", _whole(lambda a, after, upto: delta.anchored_deltas(CYCLE, a, after, upto)), _with(_DELTAS, CYCLE))
-_add("homo_once_delta_whole", _whole(lambda a, after, upto: _count(delta.anchored(EQUAL, a, after, upto, homo=True))), _with("SELECT st AS seq, count(*) AS positives FROM found WHERE st > 0 GROUP BY 1", EQUAL, True))
-_add("homo_multiplicity_delta_whole", _whole(lambda a, after, upto: _count(delta.anchored(EQUAL, a, after, upto, homo=True, homo_multiplicity=True))),
+_add("homo_once_delta", _whole(lambda a, after, upto: _count(delta.anchored(EQUAL, a, after, upto, homo=True))), _with("SELECT st AS seq, count(*) AS positives FROM found WHERE st > 0 GROUP BY 1", EQUAL, True))
+_add("homo_multiplicity_delta", _whole(lambda a, after, upto: _count(delta.anchored(EQUAL, a, after, upto, homo=True, homo_multiplicity=True))),
      _with(f"SELECT st AS seq, sum({' + '.join(f'(s{i} = st)::INT' for i in range(4))})::BIGINT AS positives FROM found WHERE st > 0 GROUP BY 1", EQUAL, True))
 _add("max_results_cap", lambda s, d: m.cap(m.deltas(_found(CYCLE)(s, d)), CAP), _with(f"SELECT seq, least(positives, {CAP}) AS positives, least(negatives, {CAP}) AS negatives FROM ({_DELTAS})", CYCLE))
 
@@ -298,8 +294,8 @@ def _enumerated(spark, sf):
 
 
 _ROWS = f"(SELECT st AS seq, CASE WHEN st > 0 THEN 1 ELSE 0 END AS sign, [u0, u1, u2, u3] AS mapping FROM found UNION ALL SELECT en, -1, [u0, u1, u2, u3] FROM found WHERE en < {_HUGE})"
-_add("enumerate_matches", _enumerated, _with(f"SELECT seq, sign, array_to_string(mapping, ',') AS mapping FROM {_ROWS} QUALIFY row_number() OVER (PARTITION BY seq, sign ORDER BY mapping) <= {CAP}", SELECTIVE))
-_add("enumerate_matches_whole", lambda s, d: m.enumerate_matches(_found(SELECTIVE)(s, d), SELECTIVE.size).select("seq", "sign", F.array_join("mapping", ",").alias("mapping")), _with(f"SELECT seq, sign, array_to_string(mapping, ',') AS mapping FROM {_ROWS}", SELECTIVE))
+_add("enumerate_capped", _enumerated, _with(f"SELECT seq, sign, array_to_string(mapping, ',') AS mapping FROM {_ROWS} QUALIFY row_number() OVER (PARTITION BY seq, sign ORDER BY mapping) <= {CAP}", SELECTIVE))
+_add("enumerate_matches", lambda s, d: m.enumerate_matches(_found(SELECTIVE)(s, d), SELECTIVE.size).select("seq", "sign", F.array_join("mapping", ",").alias("mapping")), _with(f"SELECT seq, sign, array_to_string(mapping, ',') AS mapping FROM {_ROWS}", SELECTIVE))
 _add("time_constrained", lambda s, d: m.precedes(EQUAL, adj(s, d), [(0, 1)]).filter("st > 0").groupBy(F.col("st").alias("seq")).agg(F.count("*").alias("positives")), _with("SELECT st AS seq, count(*) AS positives FROM found WHERE s0 < s1 AND st > 0 GROUP BY 1", EQUAL))
 for _name in ("symbi", "turboflux", "newsp", "calig", "sj-tree"):
     _add(f"strategy_{_name.replace('-', '_')}", _strategy(SELECTIVE, _name), _with(_SUMMARY, SELECTIVE))
@@ -427,7 +423,6 @@ def _nlf_unsafe(spark, sf):
 
 _add("nlf_safe_detect", _nlf_unsafe, f"WITH {_TRADE}, {_EVENTS}, cover AS ({_cover_sql(SELECTIVE)}), both_ways AS (SELECT seq, elabel, src AS a, dst AS b FROM changes UNION ALL SELECT seq, elabel, dst, src FROM changes) SELECT DISTINCT seq FROM ("
      + " UNION ALL ".join(f"SELECT seq FROM both_ways WHERE elabel = {c} AND a IN (SELECT v FROM cover WHERE u = {u}) AND b IN (SELECT v FROM cover WHERE u = {w})" for u, w, c in SELECTIVE.edges) + ")")
-_add("nlf_change", lambda s, d: stats.nlf_change(adj(s, d).filter("src < dst and start_seq > 0").select("src", "dst", "src_label", "dst_label", F.lit(True).alias("is_add"))), _with("SELECT id, label, count(*)::BIGINT AS n FROM (SELECT src AS id, dst_label AS label FROM adj WHERE start_seq > 0) GROUP BY 1, 2"))
 
 
 def _signed_changes(spark, sf):
@@ -436,7 +431,7 @@ def _signed_changes(spark, sf):
     return stats.nlf_change(events("start_seq > 0", True).unionByName(events(F.col("end_seq") < _HUGE, False)))
 
 
-_add("nlf_change_signed", _signed_changes, _with(f"SELECT id, label, sum(n)::BIGINT AS n FROM (SELECT src AS id, dst_label AS label, 1 AS n FROM adj WHERE start_seq > 0 UNION ALL SELECT src, dst_label, -1 FROM adj WHERE end_seq < {_HUGE}) GROUP BY 1, 2"))
+_add("nlf_change", _signed_changes, _with(f"SELECT id, label, sum(n)::BIGINT AS n FROM (SELECT src AS id, dst_label AS label, 1 AS n FROM adj WHERE start_seq > 0 UNION ALL SELECT src, dst_label, -1 FROM adj WHERE end_seq < {_HUGE}) GROUP BY 1, 2"))
 _SPREAD = match_cte(TREE, True).split(" AND greatest")[0]
 _add("lighting_index", lambda s, d: index.lighting(TREE, adj(s, d), vertices(s, d)), _with(" UNION ALL ".join(f"SELECT {u} AS u, u{u} AS v FROM (SELECT DISTINCT u{u} FROM spread)" for u in range(TREE.size)), more=f"spread AS ({_SPREAD})"))
 
