@@ -44,8 +44,13 @@ def put(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files of frames from ``cut`` that nothing will read again."""
     for df in frames:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        remove(df.sparkSession, df.staged)

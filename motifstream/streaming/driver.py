@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from motifstream.operators.delta import anchored_deltas, triples_of
 from motifstream.operators.lifetimes import FOREVER, _alternating, adjacency, closings
-from motifstream.operators.storage import cut, exists, release
+from motifstream.operators.storage import cut, exists, release, remove
 from motifstream.plans.query import QueryGraph
 
 VERTICES = "id long, label int, start_seq long, end_seq long"
@@ -48,7 +48,7 @@ class ContinuousMatcher:
     # ---- state ----
 
     def done(self) -> list[tuple[int, int, bool]]:
-        """(batch, last update, whether it wrote a base) of all finished batches, in order."""
+        """(batch, last update, whether it wrote a base) of the finished batches since the last base but one, in order."""
         path = f"{self.folder}/manifest"
         if not exists(self.spark, path):
             return []
@@ -140,6 +140,14 @@ class ContinuousMatcher:
                 self._write(self._open(table, state), table, batch, True)
         self._finish(batch, int(bounds["b"]), base)
         release(updates)
+        if base:
+            self._forget(known)
+
+    def _forget(self, known: list[tuple[int, int, bool]]) -> None:
+        """Delete the state from before the last base but one: this batch may still run again, which takes that base."""
+        kept = max(b for b, _, base in known if base)
+        for b in (b for b, *_ in known if b < kept):
+            remove(self.spark, f"{self.folder}/manifest/batch={b}", *(f"{self.folder}/{table}/{kind}={b}" for table in KEYS for kind in ("base", "segment")))
 
     def _useful(self, lives: DataFrame) -> DataFrame:
         """Lives of edges that some query edge can be mapped to."""
@@ -153,8 +161,11 @@ class ContinuousMatcher:
 
     def deltas(self) -> DataFrame:
         """(seq, positives, negatives) of all finished batches."""
-        paths = [f"{self.folder}/deltas/batch={b}" for b, *_ in self.done() if b >= 0]
-        return self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
+        path, done = f"{self.folder}/deltas", self.done()
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], DELTAS)
+        rows = self.spark.read.schema(f"{DELTAS}, batch int").parquet(path)
+        return rows.filter(F.col("batch") <= max(b for b, *_ in done)).drop("batch")
 
 
 def _labelled(lives: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ OPS = [(1, "e", True, 2, 3, 0), (2, "e", True, 3, 4, 0), (3, "e", False, 1, 2, 0
        (15, "v", True, 3, None, 1), (16, "e", True, 3, 4, 0), (17, "e", False, 2, 8, 0), (18, "e", True, 2, 8, 0), (19, "e", True, 2, 3, 1)]
 
 
-@pytest.mark.parametrize("size,restart,compact", [(4, (0, 1, 3), 2), (7, (), 16)])
+@pytest.mark.parametrize("size,restart,compact", [(4, (0, 1, 3), 2), (7, (), 16), (5, (), 1)])
 def test_streaming_equals_batch_also_after_restarts(spark, tmp_path, size, restart, compact):
     v = spark.createDataFrame([(i, i % 2) for i in range(6)], "id long, label int")
     e = spark.createDataFrame([(0, 1, 0), (1, 2, 0)], "src long, dst long, elabel int")
@@ -64,6 +64,7 @@ def test_streaming_equals_batch_also_after_restarts(spark, tmp_path, size, resta
     assert {s for s, _, _ in want} >= {2, 3, 4, 5, 10, 14, 18} and len(want) > 6
     m, got = _stream(spark, tmp_path, q, v, e, [OPS[i : i + size] for i in range(0, len(OPS), size)], restart, compact_every=compact)
     assert got == want
+    assert len(m.done()) <= 2 * compact + 1
     # a batch that is run again changes nothing, an update that was done is late
     last = m.done()[-1][0]
     m.process(spark.createDataFrame(OPS[last * size : (last + 1) * size], UPDATES), last)
