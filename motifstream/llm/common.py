@@ -61,11 +61,18 @@ def salted_join(left: DataFrame, right: DataFrame, keys: dict[str, str], how: st
     return a.join(b, on, how).drop(own, other, *keys.values())
 
 
-def lean(run, rows: int = 10_000):
+BATCH_ROWS = 1000  # that go to Python and back at a time, where the session allows more: texts are large
+
+
+def lean(run, rows: int = BATCH_ROWS):
     """``run``, a function for ``mapInArrow``, on at most ``rows`` rows at a time.
 
-    At the end its worker gives free memory back, as Spark keeps it for other tasks.
+    The session's limit of rows in an Arrow batch is lowered to ``BATCH_ROWS`` for that, which bounds the buffers on
+    both sides. At the end its worker gives free memory back, as Spark keeps it for other tasks.
     """
+    spark, limit = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark and not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
+        spark.conf.set(limit, BATCH_ROWS)
 
     def task(batches):
         try:

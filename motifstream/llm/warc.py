@@ -20,6 +20,7 @@ from motifstream.llm.common import lean, materialize, new_path
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, struct.Struct("<II"), struct.Struct("<IBI")
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 64 << 20, 3
+MAX_TASKS = 8192
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -189,8 +190,8 @@ def read_bundles(index: DataFrame, folder: str, kind: str = "bigint") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     own = "long" if to is int else "string"
-    n = index.select("bundle").distinct().count()  # a task for each bundle
-    bundles = index.repartition(max(1, n), "bundle").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "page_id"))).alias("places"))
+    n = index.select("bundle").distinct().count()  # a task for each bundle, as long as there are not too many
+    bundles = index.repartition(max(1, min(n, MAX_TASKS)), "bundle").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "page_id"))).alias("places"))
     return bundles.mapInArrow(lean(run, 1), f"page_id {own}, payload_bytes long, payload_digest string, record_type string, refers_to {own}")
 
 
