@@ -33,7 +33,7 @@ def pairs(frames_of):
     return {(u, r["v"]) for u, df in frames_of.items() for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_candidates_after_changes_are_those_of_a_rebuild(spark, seed):
     r = random.Random(seed)
     labels = [(i, r.randrange(2)) for i in range(14)]
