@@ -61,18 +61,21 @@ def salted_join(left: DataFrame, right: DataFrame, keys: dict[str, str], how: st
     return a.join(b, on, how).drop(own, other, *keys.values())
 
 
-BATCH_ROWS = 1000  # that go to Python and back at a time, where the session allows more: texts are large
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20  # that go to Python at a time, where the session allows more: texts are large
 
 
 def lean(run, rows: int = BATCH_ROWS):
     """``run``, a function for ``mapInArrow``, on at most ``rows`` rows at a time.
 
-    The session's limit of rows in an Arrow batch is lowered to ``BATCH_ROWS`` for that, which bounds the buffers on
-    both sides. At the end its worker gives free memory back, as Spark keeps it for other tasks.
+    The session's limits of an Arrow batch are lowered to ``BATCH_ROWS`` and ``BATCH_BYTES`` for that, which bounds the
+    buffers on both sides. At the end its worker gives free memory back, as Spark keeps it for other tasks.
     """
-    spark, limit = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark and not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:
-        spark.conf.set(limit, BATCH_ROWS)
+    if spark := SparkSession.getActiveSession():
+        rows_of, bytes_of = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+        if not 0 < int(spark.conf.get(rows_of)) <= BATCH_ROWS:
+            spark.conf.set(rows_of, BATCH_ROWS)
+        if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(bytes_of)) > BATCH_BYTES:
+            spark.conf.set(bytes_of, BATCH_BYTES)
 
     def task(batches):
         try:
