@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifstream.operators.lifetimes import FOREVER
+from motifstream.operators.stats import star_sizes
 from motifstream.operators.storage import cut
-from motifstream.plans.planner import Step, graphflow, steps
+from motifstream.plans.planner import Step, costed, graphflow, steps
 from motifstream.plans.query import QueryGraph
 
 BOTH = "both"
@@ -29,34 +30,73 @@ def _apart(q: QueryGraph, new: int, old: list[int]):
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
-def extend(q: QueryGraph, adj: DataFrame, out: DataFrame | None, step: Step, done: list[int], *, homo: bool = False, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
-    """Partial matches of the vertices ``done``, joined to ``step``'s vertex over all its earlier neighbours."""
-    for i, b in enumerate(step.backward):
+def _overlap(out: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with lives (st, en) joined to edges with lives (s_new, e_new), where these overlap."""
+    return out.join(e, keys).withColumn("st", F.greatest("st", "s_new")).withColumn("en", F.least("en", "e_new")).drop("s_new", "e_new").filter("st < en")
+
+
+def extend(q: QueryGraph, adj: DataFrame, out: DataFrame | None, step: Step, done: list[int], *, homo: bool = False, candidates: dict[int, DataFrame] | None = None, before: list[tuple[int, int]] = ()) -> DataFrame:
+    """Partial matches of the vertices ``done``, joined to ``step``'s vertex over all its earlier neighbours.
+
+    Query edges of ``before`` (i, j) keep their starts as t{i}; i has to start before j."""
+    at = {frozenset(e[:2]): i for i, e in enumerate(q.edges)}
+    new = f"u{step.vertex}"
+
+    def side(b: int) -> DataFrame:
+        k = at[frozenset((b, step.vertex))]
         e = edge_side(adj, q, b, step.vertex, q.neighbours(b)[step.vertex], "new")
+        if any(k == j for _, j in before):
+            e = e.filter("s_new > 0")  # what starts after another is not there at first
         for x in (b, step.vertex):
             if candidates and x in candidates:
                 e = e.join(candidates[x].select(F.col("v").alias(f"u{x}")), f"u{x}", "left_semi")
+        return e.withColumn(f"t{k}", F.col("s_new")) if any(k in pair for pair in before) else e
+
+    def timely(rows: DataFrame, had: list[str]) -> DataFrame:
+        for i, j in before:
+            if {f"t{i}", f"t{j}"} <= set(rows.columns) and not {f"t{i}", f"t{j}"} <= set(had):
+                rows = rows.filter(F.col(f"t{i}") < F.col(f"t{j}"))
+        return rows
+
+    def distinct_ends(rows: DataFrame) -> DataFrame:
+        apart = None if homo else _apart(q, step.vertex, done)
+        return rows if apart is None else rows.filter(apart)
+
+    first = lambda b: side(b).withColumnsRenamed({"s_new": "st", "e_new": "en"})
+    if step.together:
+        closing = reduce(lambda rows, b: _overlap(rows, side(b), [new]), step.backward[1:], first(step.backward[0]))
+        joined = _overlap(out, closing.withColumnsRenamed({"st": "s_new", "en": "e_new"}), [f"u{b}" for b in step.backward])
+        return timely(distinct_ends(joined), out.columns)
+    for i, b in enumerate(step.backward):
         if out is None:
-            out = e.withColumnsRenamed({"s_new": "st", "e_new": "en"})
+            out = first(b)
             continue
-        keys = [f"u{b}"] + ([f"u{step.vertex}"] if i else [])
-        out = out.join(e, keys).withColumn("st", F.greatest("st", "s_new")).withColumn("en", F.least("en", "e_new")).drop("s_new", "e_new").filter("st < en")
-        if not i and not homo and (apart := _apart(q, step.vertex, done)) is not None:
-            out = out.filter(apart)
+        had = out.columns
+        out = _overlap(out, side(b), [f"u{b}"] + ([new] if i else []))
+        out = timely(out if i else distinct_ends(out), had)
     return out
 
 
-def matches(q: QueryGraph, adj: DataFrame, *, order: list[int] | None = None, homo: bool = False, candidates: dict[int, DataFrame] | None = None) -> DataFrame:
+def _plan(q: QueryGraph, adj: DataFrame, order: list[int] | None, sizes: dict | None) -> list[Step]:
+    """Steps with joins chosen by sizes, if any has a choice. They are counted in a stored graph, or for an order that is given; else the first edge goes first."""
+    plan = steps(q, order or graphflow(q))
+    if all(len(s.backward) < 2 for s in plan) or not (sizes or order or getattr(adj, "staged", None)):
+        return plan
+    return costed(q, [s.vertex for s in plan], sizes or star_sizes(q, adj))
+
+
+def matches(q: QueryGraph, adj: DataFrame, *, order: list[int] | None = None, homo: bool = False, candidates: dict[int, DataFrame] | None = None, sizes: dict | None = None, before: list[tuple[int, int]] = ()) -> DataFrame:
     """All embeddings as (u0 .. uk-1, st, en): each exists from update st to before update en.
 
-    Joins follow ``order``. A vertex with several earlier neighbours is joined to the first and its other edges are
-    equi-joins on both ends, so cycles close as soon as they can; lives that do not overlap are dropped at each join.
-    ``candidates`` (query vertex -> DataFrame of ids ``v``) reduces the edges before any join.
+    Joins follow ``order``. A vertex with several earlier neighbours is joined to the one that adds fewest rows and its
+    other edges are equi-joins on both ends, or its edges are joined to each other first where this is less
+    (``planner.costed``); lives that do not overlap are dropped at each join. ``candidates`` (query vertex -> DataFrame
+    of ids ``v``) reduces the edges before any join. ``sizes`` are those of ``stats.star_sizes``, if they are known.
     """
-    plan = steps(q, order or graphflow(q))
+    plan = _plan(q, adj, order, sizes)
     out, done = None, [plan[0].vertex]
     for step in plan[1:]:
-        out = extend(q, adj, out, step, done, homo=homo, candidates=candidates)
+        out = extend(q, adj, out, step, done, homo=homo, candidates=candidates, before=before)
         done.append(step.vertex)
     return out.select(*(f"u{i}" for i in range(q.size)), "st", "en")
 

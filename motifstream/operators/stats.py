@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,30 @@ def query_statistics(q: QueryGraph, adj: DataFrame, vertices: DataFrame) -> tupl
     return freq, {u: sum(n for x, n in labels.items() if fits(x, u)) for u in range(q.size)}
 
 
+_STARS: dict[tuple, dict] = {}  # (stored graph, query) -> sizes; a stored graph does not change
+MOST_ARMS = 6  # neighbours of a query vertex of which all sets are counted; of more, single ones and pairs
+
+
+def star_sizes(q: QueryGraph, adj: DataFrame) -> dict[tuple[int, frozenset], float]:
+    """(w, neighbours of w) -> how many rows their query edges have when joined at w by labels alone. One row comes to the driver."""
+    key = getattr(adj, "staged", None), q
+    if key[0] and key in _STARS:
+        return _STARS[key]
+    sets = [(w, frozenset(s)) for w in range(q.size) for k in range(1, q.degree(w) + 1) if k <= 2 or q.degree(w) <= MOST_ARMS for s in combinations(q.neighbours(w), k)]
+    arms, fits = {}, lambda c, x: F.lit(True) if q.label_set(x) is None else F.col(c).isin(sorted(q.label_set(x)))
+    for w in range(q.size):
+        for b, c in q.neighbours(w).items():
+            arms[w, b] = (F.col("elabel") == c) & fits("src_label", w) & fits("dst_label", b)
+    name = {arm: f"d{i}" for i, arm in enumerate(arms)}
+    used = adj.filter(reduce(lambda a, b: a | b, arms.values()))
+    each = used.groupBy("src").agg(*(F.count_if(test).cast("double").alias(name[arm]) for arm, test in arms.items()))
+    sums = [F.coalesce(F.sum(reduce(lambda a, b: a * b, [F.col(name[w, b]) for b in sorted(s)])), F.lit(0.0)).alias(f"n{i}") for i, (w, s) in enumerate(sets)]
+    out = dict(zip(sets, each.agg(*sums).first()))
+    if key[0]:
+        _STARS[key] = out
+    return out
+
+
 def induced(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends in ``vertices`` (id)."""
     ids = vertices.select("id").distinct()

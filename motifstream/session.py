@@ -61,15 +61,16 @@ class Reduced:
     def plan(self, query, adj, vertices, *, homo, order):
         freq, label_freq = stats.query_statistics(query, adj, vertices)
         top = planner.root(query, freq, label_freq)
+        sizes = None if query.is_tree() else stats.star_sizes(query, adj)
         _, d2 = index.dcs(query, adj, _all_ids(vertices, adj), top, store=True)
         if not order and self.name == "turboflux":
             tree = planner.spanning_tree(query, top, freq)
             paths = {r["u"]: r["paths"] for r in index.explicit_paths(query, adj, d2, tree, top).collect()}
             order = planner.plan_order(query, self.name, freq, label_freq, paths)
         elif not order and self.name == "symbi":
-            sizes = {r["u"]: r["n"] for r in index.as_rows(d2).groupBy("u").count().withColumnRenamed("count", "n").collect()}
-            order = planner.by_candidates(query, top, sizes)
-        return m.matches(query, adj, order=order or planner.plan_order(query, self.name, freq, label_freq), homo=homo, candidates=d2)
+            counts = {r["u"]: r["n"] for r in index.as_rows(d2).groupBy("u").count().withColumnRenamed("count", "n").collect()}
+            order = planner.by_candidates(query, top, counts)
+        return m.matches(query, adj, order=order or planner.plan_order(query, self.name, freq, label_freq), homo=homo, candidates=d2, sizes=sizes)
 
     def shell(self, query):
         return []
