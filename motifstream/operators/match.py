@@ -108,21 +108,30 @@ def pruning_counters(q: QueryGraph, adj: DataFrame, *, order: list[int] | None =
     ``joinable`` have the other edges as well and ``unvisited`` are new to the match; ``dead_ends`` got no extension.
     """
     plan, now, parts = steps(q, order or graphflow(q)), None, []
+    joins = costed(q, [s.vertex for s in plan], star_sizes(q, adj))
     flat = adj.withColumns({"start_seq": F.lit(0).cast("long"), "end_seq": F.lit(FOREVER)})
     side = lambda b, w: edge_side(flat, q, b, w, q.neighbours(b)[w], "new").drop("s_new", "e_new")
     fits = lambda df, x: df.join(candidates[x].select(F.col("v").alias(f"u{x}")), f"u{x}", "left_semi") if candidates and x in candidates else df
     first = plan[0].vertex
     now = flat if q.label_set(first) is None else flat.filter(F.col("src_label").isin(sorted(q.label_set(first))))
     now, done = cut(fits(now.select(F.col("src").alias(f"u{first}")).distinct(), first), "partial"), [first]
-    for i, step in enumerate(plan[1:], 1):
-        extended = now.join(side(step.backward[0], step.vertex), f"u{step.backward[0]}")
-        indexed = fits(extended, step.vertex)
-        joinable = reduce(lambda df, b: df.join(side(b, step.vertex), [f"u{b}", f"u{step.vertex}"]), step.backward[1:], indexed)
+    for i, (step, join) in enumerate(zip(plan[1:], joins[1:]), 1):
+        near, at, new = side(step.backward[0], step.vertex), f"u{step.backward[0]}", f"u{step.vertex}"
+        many = now.groupBy(at).agg(F.count("*").alias("many"))
+        rows = lambda df: df.agg(F.count("*").alias("n"))
+        # neighbours of all matches, counted without making them
+        ways = lambda df: many.join(df.groupBy(at).agg(F.count("*").alias("ways")), at).agg(F.coalesce(F.sum(F.col("many") * F.col("ways")), F.lit(0)).alias("n"))  # noqa: E731, B023
+        sides = [fits(side(b, step.vertex), step.vertex) for b in join.backward]
+        if join.together:
+            joinable = now.join(reduce(lambda x, y: x.join(y, new), sides), [f"u{b}" for b in join.backward])  # noqa: B023
+        else:
+            joinable = reduce(lambda x, y: x.join(y[1], [f"u{y[0]}", new]), list(zip(join.backward, sides))[1:], now.join(sides[0], f"u{join.backward[0]}"))  # noqa: B023
+        joinable = cut(joinable, "partial")
         apart = None if homo else _apart(q, step.vertex, done)
-        unvisited = cut(joinable if apart is None else joinable.filter(apart), "partial")
+        unvisited = joinable if apart is None else joinable.filter(apart)
         dead = now.join(unvisited.select(*(f"u{x}" for x in done)).distinct(), [f"u{x}" for x in done], "left_anti")
-        for name, df in (("partial", now), ("extended", extended), ("indexed", indexed), ("joinable", joinable), ("unvisited", unvisited), ("dead_ends", dead)):
-            parts.append(df.agg(F.count("*").alias("n")).select(F.lit(i).alias("step"), F.lit(step.vertex).alias("vertex"), F.lit(name).alias("name"), "n"))
+        for name, n in (("partial", rows(now)), ("extended", ways(near)), ("indexed", ways(fits(near, step.vertex))), ("joinable", rows(joinable)), ("unvisited", rows(unvisited)), ("dead_ends", rows(dead))):
+            parts.append(n.select(F.lit(i).alias("step"), F.lit(step.vertex).alias("vertex"), F.lit(name).alias("name"), "n"))
         now = unvisited
         done.append(step.vertex)
     names = ("partial", "extended", "indexed", "joinable", "unvisited", "dead_ends")

@@ -68,3 +68,9 @@ def test_choice_of_joins_is_by_counted_stars(spark, trade):
 def test_turboflux_keeps_away_from_the_hub(spark, trade):
     rows, most = of_strategy(spark, trade, "turboflux")
     assert len(rows) == 6 * N and most <= 6 * N
+
+
+def test_pruning_counters_count_extensions_without_making_them(trade):
+    rows, most = most_joined(m.pruning_counters(TRADE, trade[1], order=[3, 2, 1, 0]))
+    assert sorted(map(tuple, rows)) == [(1, 2, 1, N, N, N, N, 0), (2, 1, N, 3 * N, 3 * N, 3 * N, 3 * N, 0), (3, 0, 3 * N, 3 * N * N, 3 * N * N, 6 * N, 6 * N, 0)]
+    assert most <= 6 * N
