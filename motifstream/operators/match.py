@@ -30,7 +30,7 @@ def _apart(q: QueryGraph, new: int, old: list[int]):
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
-def _overlap(out: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
+def overlap(out: DataFrame, e: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with lives (st, en) joined to edges with lives (s_new, e_new), where these overlap."""
     return out.join(e, keys).withColumn("st", F.greatest("st", "s_new")).withColumn("en", F.least("en", "e_new")).drop("s_new", "e_new").filter("st < en")
 
@@ -64,15 +64,15 @@ def extend(q: QueryGraph, adj: DataFrame, out: DataFrame | None, step: Step, don
 
     first = lambda b: side(b).withColumnsRenamed({"s_new": "st", "e_new": "en"})
     if step.together:
-        closing = reduce(lambda rows, b: _overlap(rows, side(b), [new]), step.backward[1:], first(step.backward[0]))
-        joined = _overlap(out, closing.withColumnsRenamed({"st": "s_new", "en": "e_new"}), [f"u{b}" for b in step.backward])
+        closing = reduce(lambda rows, b: overlap(rows, side(b), [new]), step.backward[1:], first(step.backward[0]))
+        joined = overlap(out, closing.withColumnsRenamed({"st": "s_new", "en": "e_new"}), [f"u{b}" for b in step.backward])
         return timely(distinct_ends(joined), out.columns)
     for i, b in enumerate(step.backward):
         if out is None:
             out = first(b)
             continue
         had = out.columns
-        out = _overlap(out, side(b), [f"u{b}"] + ([new] if i else []))
+        out = overlap(out, side(b), [f"u{b}"] + ([new] if i else []))
         out = timely(out if i else distinct_ends(out), had)
     return out
 

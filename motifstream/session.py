@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from motifstream.functions.limits import tuned_partitions, within
 from motifstream.operators import counting, delta, index, lifetimes, stats
 from motifstream.operators import match as m
-from motifstream.operators.sjtree import partial_matches
+from motifstream.operators.sjtree import joined_leaves
 from motifstream.plans import planner
 from motifstream.plans.query import QueryGraph
 
@@ -41,12 +41,11 @@ class Direct:
 
 
 class SjTree:
-    """Binary joins of query edges, the rarest first."""
+    """Binary joins of query edges: the rarest first, then those that add fewest rows."""
 
     def plan(self, query, adj, vertices, *, homo, order):
         freq, _ = stats.query_statistics(query, adj, vertices)
-        done = partial_matches(query, adj, planner.sj_tree(query, freq), homo=homo, store=False)[-1]
-        return done.select(*(f"u{i}" for i in range(query.size)), "st", "en")
+        return joined_leaves(query, adj, planner.sj_leaves(query, freq, stats.star_sizes(query, adj)), homo=homo)
 
     def shell(self, query):
         return []

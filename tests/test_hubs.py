@@ -74,3 +74,13 @@ def test_pruning_counters_count_extensions_without_making_them(trade):
     rows, most = most_joined(m.pruning_counters(TRADE, trade[1], order=[3, 2, 1, 0]))
     assert sorted(map(tuple, rows)) == [(1, 2, 1, N, N, N, N, 0), (2, 1, N, 3 * N, 3 * N, 3 * N, 3 * N, 0), (3, 0, 3 * N, 3 * N * N, 3 * N * N, 6 * N, 6 * N, 0)]
     assert most <= 6 * N
+
+
+def test_sj_tree_deltas_keep_away_from_the_hub(spark):
+    v, e = hub(N)
+    late = [x for x in e if x[2] == 0 and x[0] % 10 == 0]
+    ops = [(i + 1, "e", True, *x) for i, x in enumerate(late)] + [(len(late) + i + 1, "e", False, *x[:2], 0) for i, x in enumerate(late) if i % 2]
+    vertices, updates = spark.createDataFrame(v, "id long, label int"), spark.createDataFrame(ops, "seq long, kind string, is_add boolean, id1 long, id2 long, label int")
+    adj = cut(lifetimes.build_adjacency(vertices, spark.createDataFrame([x for x in e if x not in late], "src long, dst long, elabel int"), updates), "late")
+    rows, most = most_joined(m.deltas(CsmSession(spark).plan(TRADE, adj, vertices, strategy="sj-tree")))
+    assert {tuple(r) for r in rows} == {(o[0], 3 if o[2] else 0, 0 if o[2] else 3) for o in ops} and most <= 6 * N
