@@ -84,3 +84,10 @@ def test_sj_tree_deltas_keep_away_from_the_hub(spark):
     adj = cut(lifetimes.build_adjacency(vertices, spark.createDataFrame([x for x in e if x not in late], "src long, dst long, elabel int"), updates), "late")
     rows, most = most_joined(m.deltas(CsmSession(spark).plan(TRADE, adj, vertices, strategy="sj-tree")))
     assert {tuple(r) for r in rows} == {(o[0], 3 if o[2] else 0, 0 if o[2] else 3) for o in ops} and most <= 6 * N
+
+
+def test_sj_tree_keeps_away_from_the_hub(spark, trade):
+    rows, most = of_strategy(spark, trade, "sj-tree")
+    assert len(rows) == 6 * N and most <= 6 * N
+    sizes = stats.star_sizes(TRADE, trade[1])
+    assert planner.sj_leaves(TRADE, {e[:2]: sizes[e[0], frozenset((e[1],))] for e in TRADE.edges}, sizes) == [[(0, 3, 2)], [(0, 1, 0)], [(1, 2, 1)], [(2, 3, 3)]]
