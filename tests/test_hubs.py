@@ -91,3 +91,9 @@ def test_sj_tree_keeps_away_from_the_hub(spark, trade):
     assert len(rows) == 6 * N and most <= 6 * N
     sizes = stats.star_sizes(TRADE, trade[1])
     assert planner.sj_leaves(TRADE, {e[:2]: sizes[e[0], frozenset((e[1],))] for e in TRADE.edges}, sizes) == [[(0, 3, 2)], [(0, 1, 0)], [(1, 2, 1)], [(2, 3, 3)]]
+
+
+@pytest.mark.parametrize("order", [[3, 2, 1, 0], [3, 0, 1, 2], [1, 0, 3, 2], [2, 3, 1, 0]])
+def test_given_orders_close_at_the_hub_last(spark, trade, order):
+    rows, most = of_strategy(spark, trade, "graphflow", order)
+    assert len(rows) == 6 * N and most <= 6 * N
