@@ -68,7 +68,7 @@ class Reduced:
             order = planner.plan_order(query, self.name, freq, label_freq, paths)
         elif not order and self.name == "symbi":
             counts = {r["u"]: r["n"] for r in index.as_rows(d2).groupBy("u").count().withColumnRenamed("count", "n").collect()}
-            order = planner.by_candidates(query, top, counts)
+            order = planner.by_candidates(query, top, counts, sizes)
         return m.matches(query, adj, order=order or planner.plan_order(query, self.name, freq, label_freq), homo=homo, candidates=d2, sizes=sizes)
 
     def shell(self, query):

@@ -97,3 +97,15 @@ def test_sj_tree_keeps_away_from_the_hub(spark, trade):
 def test_given_orders_close_at_the_hub_last(spark, trade, order):
     rows, most = of_strategy(spark, trade, "graphflow", order)
     assert len(rows) == 6 * N and most <= 6 * N
+
+
+def test_symbi_takes_the_vertex_with_fewest_candidates_of_a_match(spark):
+    v, e = hub(N)
+    goods = [(1000 + i, 1) for i in range(2 * N)]
+    v, e = [x for x in v if x[1] != 1] + goods, [x for x in e if x[2] > 1] + [(i, 1000 + 2 * i + d, 0) for i in range(N) for d in (0, 1)] + [(1000 + i, 2000 + (i * 7 + d) % N, 1) for i in range(2 * N) for d in (0, 2, 5)]
+    vertices = spark.createDataFrame(v, "id long, label int")
+    adj = cut(lifetimes.build_adjacency(vertices, spark.createDataFrame(e, "src long, dst long, elabel int")), "hub")
+    counts = {0: N, 1: 2 * N, 2: N, 3: 1}
+    assert planner.by_candidates(TRADE, 3, counts) == [3, 0, 2, 1] and planner.by_candidates(TRADE, 3, counts, stats.star_sizes(TRADE, adj)) == [3, 0, 1, 2]
+    rows, most = of_strategy(spark, (vertices, adj), "symbi")
+    assert len(rows) == 6 * N and most <= 6 * N
