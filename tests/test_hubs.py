@@ -109,3 +109,16 @@ def test_symbi_takes_the_vertex_with_fewest_candidates_of_a_match(spark):
     assert planner.by_candidates(TRADE, 3, counts) == [3, 0, 2, 1] and planner.by_candidates(TRADE, 3, counts, stats.star_sizes(TRADE, adj)) == [3, 0, 1, 2]
     rows, most = of_strategy(spark, (vertices, adj), "symbi")
     assert len(rows) == 6 * N and most <= 6 * N
+
+
+def test_time_constraints_hold_while_joining(spark):
+    q = QueryGraph.of((0, 1, 0, 3), [(0, 1, 0), (2, 1, 0), (0, 3, 2), (2, 3, 2)])
+    vertices = spark.createDataFrame([(i, 0) for i in range(N)] + [(1000, 1), (3000, 3)], "id long, label int")
+    edges = spark.createDataFrame([(i, 3000, 2) for i in range(N)] + [(i, 1000, 0) for i in range(5, N)], "src long, dst long, elabel int")
+    updates = spark.createDataFrame([(i + 1, "e", True, i, 1000, 0) for i in range(5)], "seq long, kind string, is_add boolean, id1 long, id2 long, label int")
+    adj = cut(lifetimes.build_adjacency(vertices, edges, updates), "late")
+    rows, most = most_joined(m.precedes(q, adj, [(0, 1)]))
+    assert {tuple(x)[:5] for x in rows} == {(a, 1000, b, 3000, b + 1) for b in range(5) for a in range(N) if a > 4 or a < b}
+    assert most <= 5 * N
+    other, _ = most_joined(m.precedes(q, adj, [(1, 0)]))
+    assert {tuple(x)[:5] for x in other} == {(b, 1000, a, 3000, s) for a, _, b, _, s in (tuple(x)[:5] for x in rows)}
