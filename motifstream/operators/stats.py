@@ -86,31 +86,49 @@ def induced(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids, edges["src"] == ids["id"], "left_semi").join(ids, edges["dst"] == ids["id"], "left_semi")
 
 
-MAX_VERTICES = 20_000  # of a graph whose diameter is asked for: all pairs of them are kept
+SOURCES, PAIRS = 16, 20_000_000  # of the searches at once: the first ones', and the most (source, vertex) rows of later ones
 
 
-def diameter(edges: DataFrame, max_rounds: int = 256, max_vertices: int = MAX_VERTICES) -> int:
-    """Longest shortest path of a small graph: breadth-first search from all vertices at once, a join a step.
+def diameter(edges: DataFrame, max_rounds: int = 256, max_vertices: int | None = None) -> int:
+    """Longest shortest path of a graph, exact; paths over ``max_rounds`` are an error, as are more vertices than ``max_vertices``, if given.
 
-    All pairs that reach each other are rows, so larger graphs are an error, as are paths over ``max_rounds``.
+    Breadth-first searches from some vertices, a join a step, bound how far any vertex has others: one at distance d
+    from a source that has others up to e away has them max(d, e - d) to e + d away. The next sources are those with
+    the highest and the lowest bounds (then most neighbours) of all that may still have a longer path, twice as many each time, until none
+    may. Few are needed where some vertices are central; in a ring each vertex is a source in the end. Rows of the
+    searches are far larger than their files, so those are never broadcast.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = cut(both, "small-graph")
-    reach = cut(both.select(F.col("src").alias("a"), F.col("src").alias("b")).distinct(), "reached")
-    if (n := reach.count()) > max_vertices:
-        raise ValueError(f"diameter: {n} vertices, at most {max_vertices} are supported")
-    fronts, far = [reach], 0
+    state = cut(both.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree")).withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int")}), "bounds")
+    kept, far, k = [both, state], 0, SOURCES
     try:
-        while far <= max_rounds:
-            known = reduce(DataFrame.unionByName, fronts)
-            near = fronts[-1].join(both, fronts[-1]["b"] == both["src"]).select("a", F.col("dst").alias("b")).distinct()
-            fronts.append(cut(near.join(known, ["a", "b"], "left_anti"), "frontier"))
-            if fronts[-1].isEmpty():
+        if (n := state.count()) > (n if max_vertices is None else max_vertices):
+            raise ValueError(f"diameter: {n} vertices, at most {max_vertices} are wanted")
+        while True:
+            longer = state.filter(F.col("hi").isNull() | (F.col("hi") > far))
+            some = lambda m, *by: longer.orderBy(*by, F.xxhash64("v")).limit(m).select("v")  # noqa: E731, B023
+            sources = some(k - k // 2, F.col("hi").desc_nulls_first()).unionByName(some(k // 2, F.col("lo").asc_nulls_last(), F.col("degree").desc())).distinct()
+            fronts = [cut(sources.select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(0).alias("d")), "frontier")]
+            kept += fronts
+            if fronts[0].isEmpty():
                 return far
-            far += 1
+            while not fronts[-1].isEmpty():
+                if len(fronts) > max_rounds + 1:
+                    raise RuntimeError(f"diameter: paths of more than {max_rounds} edges")
+                near = fronts[-1].join(both.hint("merge"), fronts[-1]["b"] == both["src"]).select("a", F.col("dst").alias("b")).distinct()
+                known = reduce(DataFrame.unionByName, fronts[-2:]).select("a", "b")  # neighbours are at most a step nearer or farther
+                fronts.append(cut(near.join(known.hint("merge"), ["a", "b"], "left_anti").withColumn("d", F.lit(len(fronts))), "frontier"))
+                kept.append(fronts[-1])
+            reached = reduce(DataFrame.unionByName, fronts)
+            own = reached.groupBy("a").agg(F.max("d").alias("e"))
+            far = max(far, len(fronts) - 2)
+            bounds = reached.join(F.broadcast(own), "a").groupBy(F.col("b").alias("v")).agg(F.max(F.greatest("d", F.col("e") - F.col("d"))).alias("_lo"), F.min(F.col("e") + F.col("d")).alias("_hi"))
+            state = cut(state.join(bounds.hint("merge"), "v", "left").select("v", "degree", F.greatest("lo", "_lo").alias("lo"), F.least("hi", "_hi").alias("hi")), "bounds")
+            release(*kept[1:])
+            kept, k = [both, state], max(1, min(2 * k, PAIRS // n))
     finally:
-        release(both, *fronts)
-    raise RuntimeError(f"diameter: paths of more than {max_rounds} edges")
+        release(*kept)
 
 
 def edge_labels_of(pairs: DataFrame, adj: DataFrame, seq: int = 0) -> DataFrame:

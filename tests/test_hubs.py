@@ -1,5 +1,7 @@
 """Joins through a vertex that everything touches: right results, and never the product of its neighbours as rows."""
 
+import random
+
 import pytest
 from brute import embeddings, Graph
 
@@ -122,3 +124,27 @@ def test_time_constraints_hold_while_joining(spark):
     assert most <= 5 * N
     other, _ = most_joined(m.precedes(q, adj, [(1, 0)]))
     assert {tuple(x)[:5] for x in other} == {(b, 1000, a, 3000, s) for a, _, b, _, s in (tuple(x)[:5] for x in rows)}
+
+
+def far_apart(edges):
+    near, far = {}, 0
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for start in near:
+        at, todo = {start: 0}, [start]
+        for x in todo:
+            for y in near[x] - at.keys():
+                at[y] = at[x] + 1
+                todo.append(y)
+        far = max(far, *at.values())
+    return far
+
+
+def test_diameter_of_graphs_of_any_size(spark):
+    frame = lambda edges: spark.createDataFrame(edges, "src long, dst long")
+    many = spark.range(20_100).selectExpr("id + 10 AS src", "id % 3 AS dst")
+    assert stats.diameter(many.unionByName(frame([(0, 1), (1, 2)]))) == 4
+    r = random.Random(3)
+    for edges in ([(i, (i + 1) % 18) for i in range(18)], [(a, b) for a in range(50) for b in range(a) if a % 2 == b % 2 and r.random() < 0.1] + [(200, 201)], []):
+        assert stats.diameter(frame(edges)) == (far_apart(edges) if edges else 0)
