@@ -52,7 +52,7 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda: lifetimes.adjacency(lifetimes.label_edges(tables.trade_lives(spark, sf_dir), vertices(spark, sf_dir)))
+    make = lambda: tables.trade_adjacency(spark, sf_dir, vertices(spark, sf_dir))
     return _stored(spark, sf_dir, "adjacency", make, lifetimes.store_adjacency, lambda path: lifetimes.read_adjacency(spark, path))
 
 
