@@ -11,7 +11,7 @@ from motifstream.functions import sampling
 from motifstream.functions.timing import trimmed_mean
 from motifstream.operators import counting, delta, index, lifetimes, multi, sjtree, stats
 from motifstream.operators import match as m
-from motifstream.operators.storage import cut, exists, put, shared_path
+from motifstream.operators.storage import cut, exists, put, shared_path, shuffles_released
 from motifstream.plans import planner
 from motifstream.plans.query import QueryGraph
 from motifstream.session import CsmSession
@@ -41,7 +41,8 @@ def _stored(spark: SparkSession, sf_dir: str, what: str, make, write, read) -> D
     key = spark.sparkContext.applicationId, sf_dir, what
     if key not in _STORED or not exists(spark, _STORED[key]):
         path = shared_path(spark, what)
-        write(make(), path)
+        with shuffles_released(spark):
+            write(make(), path)
         _STORED[key] = path
     return read(_STORED[key])
 

@@ -1,10 +1,13 @@
 """The stored trade graph: right for keys that repeat or lead nowhere, and what storing it deals out."""
 
+import time
+
 import duckdb
 import pytest
 
 from motifstream import queries
 from motifstream.operators import lifetimes
+from motifstream.operators.storage import FILE_CLEANUP
 from motifstream.sources import tables
 
 COLUMNS = "src, dst, elabel, src_label, dst_label, start_seq, end_seq"
@@ -72,3 +75,15 @@ def test_a_line_is_dealt_four_times_on_its_way_into_the_graph(spark, tmp_path):
         assert dealt(tables.trade_adjacency(spark, str(tmp_path), queries.vertices(spark, str(tmp_path)))) <= 5 * n  # as an edge by both ends once more: 7
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_storing_the_graph_leaves_no_shuffle_files(spark, odd):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(blocks.getAllFiles().mkString("\n").split("\n"))
+    shuffles = lambda: {x for x in files() if "/shuffle_" in x}
+    was, before = spark.conf.get(FILE_CLEANUP, None), shuffles()
+    queries.adj(spark, odd[0])
+    end = time.time() + 5  # they go in the background
+    while (left := shuffles() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(FILE_CLEANUP, None) == was
